@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality_classifier, quality_rules, token_counts, toxicity
+from . import decontamination, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, warc
 from .common import fold_remainder, table
 
 
@@ -36,6 +36,12 @@ def op5_wu_manber(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_chunks(spark, sf_dir):
+    got = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return got.select("doc_id", F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"), "n_cut_lines", (F.col("n_cut_lines") > 0).alias("changed"))
+
+
 def op7_compression_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(fold_remainder(F.col("doc_id"), 5) != 0))
@@ -43,4 +49,16 @@ def op7_compression_toxicity(spark, sf_dir):
     return toxicity.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_ftrl_quality, op3_digest_token_counts, op4_concat_cut, op5_wu_manber, op7_compression_toxicity)}
+def op8_gzip_normaliser(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_secret_ownership(spark, sf_dir):
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_multi_order_jaccard(spark, sf_dir):
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_ftrl_quality, op3_digest_token_counts, op4_concat_cut, op5_wu_manber, op6_line_chunks, op7_compression_toxicity, op8_gzip_normaliser, op9_secret_ownership, op10_multi_order_jaccard)}
