@@ -1,4 +1,6 @@
-"""Connected components of a graph of edges, by alternating stars (large-star, small-star).
+"""Connected components of a graph of edges.
+
+Up to a checked number of edges one task unites them. Beyond that: alternating stars (large-star, small-star).
 
 Each round is two aggregations and joins over the edges; hot centres are only ever aggregated or joined, never
 gathered in one task. Rounds go on until the edges no longer change and are written to the shared folder.
@@ -6,6 +8,7 @@ gathered in one task. Rounds go on until the edges no longer change and are writ
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,37 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); root is the least node of its component. Loops are ignored."""
+#: Edges that one task unites at most; more are united by rounds over all tasks.
+ONE_TASK = 500_000
+
+
+def unite(batches):
+    """(node, root) from (a, b), for all edges of the task."""
+    up: dict = {}
+
+    def find(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("a").type
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    for i in range(0, len(nodes), 50_000):
+        part = nodes[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([find(x) for x in part], kind)], ["node", "root"])
+
+
+def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, root) for every node of the edges (a, b), written; root is the least node of its component. Loops are ignored."""
     edges = materialise(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
+    kind = dict(edges.dtypes)["a"]
+    if edges.count() <= one_task:
+        return materialise(edges.coalesce(1).mapInArrow(unite, f"node {kind}, root {kind}"), "components")
     state = None
     for _ in range(most_rounds):
         edges = materialise(_star(_star(edges, True), False), "edges")
@@ -36,4 +67,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = now
     else:
         raise RuntimeError("the components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), "components")

@@ -11,9 +11,11 @@ The steps:
    blocks, each with the place of its document in a batch; a bucket finds the documents' frequency of each token
    and sends back those of two and more. A token that a batch holds many times travels once for the batch.
 2. A token of frequency 1 links nothing. Documents with a prefix of such tokens alone, nearly all, are done.
-3. Documents with the same set are one class. Classes that share a prefix token form clusters.
-4. Small clusters are settled in one task each. In large ones (groups of thousands of near copies) every class is
-   first held against a few pivots; then pairs of classes in different components, and only these, are verified.
+3. Documents with the same set are one class. Classes with very frequent prefix tokens (groups of thousands of near
+   copies) are first held against pivots, a few pairs for each class; what links becomes one node.
+4. Nodes that share a prefix token form clusters. Small clusters are settled in one task each. In large ones the
+   classes outside the largest node are paired with the classes of other nodes, where the places of a common
+   token still allow the overlap that a link needs.
 5. Components of the verified links.
 
 The sets of documents in clusters are made anew from their texts, so whole sets are never stored for the corpus.
@@ -158,12 +160,15 @@ def count_bucket(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([g.get(n) for g in got], kinds.get(n, pa.binary())) for n in names], names=names)
 
 
-SETS = "doc_id {id}, n long, signature binary, prefix_a binary, prefix_b binary, prefix_c binary"
+SETS = "doc_id {id}, n long, single long, signature binary, prefix_a binary, prefix_b binary, prefix_c binary, picks binary"
 
 
 def prefixes(percent: int):
     """Step two, for the documents of a batch: prefixes under three orders; null where a token of frequency 1 or fewer tokens than needed settle that there is no link.
 
+    ``single`` counts the tokens of frequency 1, which stand before the prefix. ``picks`` are two of the prefix's very frequent
+    tokens, least by two hashes, so that sets which share most tokens pick alike.
+
     The orders: by frequency, then token; by frequency, then mixed bits of the token; by frequency's
     power of two, then other mixed bits.
     """
@@ -173,7 +178,7 @@ def prefixes(percent: int):
         docs = [r for r in rows if r["key"] < 0]
         names = [x.split()[0] for x in SETS.split(", ")]
         id_type = table.schema.field("ids").type.value_type
-        kinds = (id_type, pa.int64(), *[pa.binary()] * 4)
+        kinds = (id_type, pa.int64(), pa.int64(), *[pa.binary()] * 5)
         if not docs:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
         doc, rest = docs[0], [r for r in rows if r["key"] >= 0]
@@ -194,10 +199,21 @@ def prefixes(percent: int):
         places, tokens, counts = places[live], tokens[live], counts[live]
         mixed, other = _rest(tokens), _rest(tokens ^ np.uint64(0x5555555555))
         begin = np.r_[0, np.cumsum(np.bincount(places, minlength=len(sizes)))]
-        orders = [tokens[np.lexsort(keys)] for keys in ((tokens, counts, places), (tokens, mixed, counts, places), (tokens, other, np.frexp(counts)[1], places))]
-        cols = [[o[begin[i] : begin[i] + need[i]].tobytes() if need[i] > 0 and sizes[i] else None for i in range(len(sizes))] for o in orders]
+        by = [np.lexsort(keys) for keys in ((tokens, counts, places), (tokens, mixed, counts, places), (tokens, other, np.frexp(counts)[1], places))]
+        live = [i for i in range(len(sizes)) if need[i] > 0 and sizes[i]]
+        cols = [dict.fromkeys(live, b"") for _ in range(4)]
+        for k, order in enumerate(by):
+            ordered = tokens[order]
+            for i in live:
+                cols[k][i] = ordered[begin[i] : begin[i] + need[i]].tobytes()
+        ordered, frequent = tokens[by[0]], counts[by[0]] >= SMALL
+        for i in live:
+            t = ordered[begin[i] : begin[i] + need[i]][frequent[begin[i] : begin[i] + need[i]]]
+            if len(t):
+                cols[3][i] = np.unique([t[np.argmin(_rest(t ^ np.uint64(salt)))] for salt in (3, 0xABCDEF)]).tobytes()
         signatures = [doc["signatures"][16 * i : 16 * i + 16] for i in range(len(sizes))]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip((doc["ids"], sizes, signatures, *cols), kinds)], names=names)
+        rows = (doc["ids"], sizes, sizes - shared, signatures, *([c.get(i) for i in range(len(sizes))] for c in cols))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     return run
 
@@ -279,27 +295,31 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(joined.drop("n_a", "n_b").mapInArrow(verify(percent), "a binary, b binary"), "ngram-links")
 
 
-def tokens_of(classes: DataFrame) -> DataFrame:
-    """(signature, token) for the first order's prefixes: 8 bytes at a time, by JVM functions."""
-    size = F.floor(F.length("prefix_a") / 8).cast("int")
+def _eights(blob: str):
+    """The 8-byte pieces of a binary column, as an array."""
+    size = F.floor(F.length(blob) / 8).cast("int")
     at = F.filter(F.sequence(F.lit(0), size), lambda i: i < size)
-    return classes.select("signature", F.explode(F.transform(at, lambda i: F.substring(F.col("prefix_a"), i * 8 + 1, F.lit(8)))).alias("token"))
+    return F.transform(at, lambda i: F.substring(F.col(blob), i * 8 + 1, F.lit(8)))
 
 
-def class_links(docs: DataFrame, sets: DataFrame, width: int, percent: int, pivot_rounds: int = 3) -> DataFrame | None:
-    """(a, b): links between classes that connect what all links connect."""
-    doc_type = dict(docs.dtypes)["doc_id"]
-    alive = sets.filter(F.col("prefix_a").isNotNull() & (F.col("n") > 0))
-    classes = materialise(alive.groupBy("signature").agg(F.min("doc_id").alias("doc_id"), F.first("prefix_a").alias("prefix_a"), F.first("prefix_b").alias("prefix_b"), F.first("prefix_c").alias("prefix_c")), "ngram-classes")
-    postings = tokens_of(classes)
-    pivots = postings.groupBy("token").agg(F.min("signature").alias("a"), F.max("signature").alias("_z")).filter("a <> _z").select("token", "a")
-    stars = postings.join(pivots, "token").select("a", F.col("signature").alias("b")).filter("a <> b").distinct()
-    clusters = materialise(components(stars).withColumnRenamed("node", "signature"), "ngram-clusters")
-    wide = materialise(clusters.groupBy("root").agg(F.count("*").alias("_n")).filter(F.col("_n") > SMALL).select("root"), "ngram-large")
-    wanted = classes.join(clusters, "signature").join(wide.select("root", F.lit(True).alias("large")), "root", "left")
-    wanted = materialise(wanted.select("signature", "doc_id", "root", F.coalesce("large", F.lit(False)).alias("large"), "prefix_a", "prefix_b", "prefix_c"), "ngram-wanted")
-    ids = wanted.select(F.col("doc_id").alias("_id"), F.col("signature").alias("_want"))
-    if wanted.count() <= MOST_BROADCAST:
+def pivot_pairs(classes: DataFrame, draw: int) -> DataFrame:
+    """(a, b): each class with the class that a hash puts first among those with one of its picks, unless both are one node already."""
+    held = classes.select("signature", "node", F.explode(_eights("picks")).alias("token"))
+    first = held.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(draw), "signature").alias("h"), "signature", "node")).alias("p"))
+    near = held.join(first, "token").filter(F.col("node") != F.col("p.node"))
+    return near.select(F.least("signature", F.col("p.signature")).alias("a"), F.greatest("signature", F.col("p.signature")).alias("b")).distinct()
+
+
+def with_nodes(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return classes.withColumn("node", F.col("signature"))
+    return classes.drop("node").join(roots.withColumnRenamed("root", "_root"), classes["signature"] == roots["node"], "left").drop("node").withColumn("node", F.coalesce("_root", "signature")).drop("_root")
+
+
+def fetch_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """signature, n, tokens and prefixes of every class, made from the text of its least document; written."""
+    ids = classes.select(F.col("doc_id").alias("_id"), F.col("signature").alias("_want"))
+    if classes.count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_want", "text")
 
@@ -308,52 +328,49 @@ def class_links(docs: DataFrame, sets: DataFrame, width: int, percent: int, pivo
         for batch in batches:
             for part in slices(batch, "text"):
                 got = [(w, s) for w, t in zip(part.column("_want").to_pylist(), as_bytes(part, "text")) if signature(s := shingle_set(t, width, memo)) == w]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([len(s) for _, s in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["signature", "n", "tokens"])
-
-    del doc_type
-    made = texts.mapInArrow(remake, "signature binary, n long, tokens binary")
-    full = materialise(made.join(wanted.drop("doc_id"), "signature"), "ngram-full")
-    links = full.filter("not large").select("root", "signature", "tokens", "prefix_a", "prefix_b", "prefix_c").groupBy("root").applyInArrow(settle(percent), "a binary, b binary").filter("a <> b")
-    if wide.isEmpty():
-        return links
-    large = full.filter("large").drop("root", "large").dropDuplicates(["signature"])
-    large = materialise(large, "ngram-large-sets")
-    return links.unionByName(large_links(large, percent, pivot_rounds))
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["signature", "tokens"])
 
+    made = texts.mapInArrow(remake, "signature binary, tokens binary")
+    return materialise(made.join(classes.select("signature", "n", "prefix_a", "prefix_b", "prefix_c"), "signature"), "ngram-full")
 
-def large_links(sets: DataFrame, percent: int, pivot_rounds: int) -> DataFrame:
-    """Links between the classes of large clusters that connect what all links connect.
 
-    Rounds with pivots (for each class, the least class by a hash that every round draws anew, of three of its
-    tokens) join most of each group. What is left are tokens whose classes lie in several components; there
-    each class outside the token's largest component is paired with all classes of other components.
+def class_links(docs: DataFrame, sets: DataFrame, width: int, percent: int, pivot_rounds: int = 2) -> DataFrame:
+    """(a, b): links between classes that connect what all links connect."""
+    alive = sets.filter(F.col("prefix_a").isNotNull() & (F.col("n") > 0))
+    same = ("n", "single", "prefix_a", "prefix_b", "prefix_c", "picks")
+    classes = materialise(alive.groupBy("signature").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in same)), "ngram-classes")
+    full = fetch_sets(docs, classes, width)
+    links, roots = None, None
+    for draw in range(pivot_rounds):
+        pairs = pivot_pairs(with_nodes(classes.filter(F.length("picks") > 0), roots), draw)
+        got = verified(pairs, full, percent)
+        links = got if links is None else materialise(links.unionByName(got), "ngram-found")
+        roots = components(links)
+    nodes = materialise(with_nodes(classes.select("signature", "n", "single", "prefix_a"), roots), "ngram-nodes")
+    shared = nodes.select("node", F.explode(_eights("prefix_a")).alias("token")).distinct()
+    pivots = shared.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a <> _z").select("token", "a")
+    clusters = components(shared.join(pivots, "token").select("a", F.col("node").alias("b")).filter("a <> b").distinct())
+    placed = nodes.join(clusters.select("node", F.col("root").alias("cluster")), "node")
+    sizes = placed.groupBy("cluster", "node").agg(F.count("*").alias("_n")).groupBy("cluster").agg(F.sum("_n").alias("_classes"), F.max(F.struct("_n", "node"))["node"].alias("_largest"))
+    placed = materialise(placed.join(sizes, "cluster"), "ngram-placed")
+    small = placed.filter(F.col("_classes") <= SMALL).select("signature", "cluster").join(full, "signature")
+    settled = small.select("cluster", "signature", "tokens", "prefix_a", "prefix_b", "prefix_c").groupBy("cluster").applyInArrow(settle(percent), "a binary, b binary").filter("a <> b")
+    large = placed.filter(F.col("_classes") > SMALL)
+    return links.unionByName(settled).unionByName(verified(cross_pairs(large, percent), full, percent))
+
+
+def cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes of different nodes of a cluster that may link, at least one of them outside the cluster's largest node.
+
+    If two sets link, then at their first common token the tokens after it still suffice for the overlap they
+    need. A pair is kept if that holds for any common prefix token.
     """
-    postings = materialise(tokens_of(sets), "ngram-postings")
-    found, roots = None, None
-    for k in range(pivot_rounds + 1):
-        held = postings if roots is None else postings.join(roots, postings["signature"] == roots["node"], "left").select("signature", "token", F.coalesce("root", "signature").alias("root"))
-        held = held if roots is not None else held.withColumn("root", F.col("signature"))
-        held = materialise(held, "ngram-held")
-        mixed = held.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter("_a <> _z").select("token")
-        held = held.join(mixed, "token")
-        if k < pivot_rounds:
-            draw = F.xxhash64(F.lit(k), "signature")
-            pivot = held.groupBy("token").agg(F.min(F.struct(draw.alias("h"), "signature", "root")).alias("p"))
-            near = held.join(pivot, "token").filter(F.col("root") != F.col("p.root")).select("signature", F.col("p.signature").alias("pivot")).distinct()
-            pick = near.groupBy("signature").agg(F.slice(F.sort_array(F.collect_set("pivot")), 1, 3).alias("pivots"))
-            pairs = pick.select(F.col("signature").alias("a"), F.explode("pivots").alias("b"))
-        else:
-            sizes = held.groupBy("token", "root").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("token").agg(F.max(F.struct("n", "root")).alias("_m")).select("token", F.col("_m.root").alias("main"))
-            odd = held.join(main, "token").filter(F.col("root") != F.col("main")).select("token", F.col("signature").alias("a"), F.col("root").alias("root_a"))
-            every = held.select("token", F.col("signature").alias("b"), F.col("root").alias("root_b"))
-            pairs = odd.join(every, "token").filter(F.col("root_a") != F.col("root_b")).select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        got = verified(pairs, sets, percent)
-        found = got if found is None else materialise(found.unionByName(got), "ngram-found")
-        if k < pivot_rounds:
-            roots = materialise(components(found), "ngram-roots")
-    return found
+    at = lambda s: F.posexplode(_eights("prefix_a")).alias(f"at_{s}", "token")
+    side = lambda df, s: df.select(F.col("signature").alias(s), F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("single").alias(f"single_{s}"), at(s)).withColumn(f"left_{s}", F.expr(f"n_{s} - single_{s} - at_{s}")).drop(f"single_{s}", f"at_{s}")
+    odd, every = side(placed.filter("node <> _largest"), "a"), side(placed, "b")
+    enough = F.least("left_a", "left_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    pairs = odd.join(every, (odd["token"] == every["token"]) & (F.col("node_a") != F.col("node_b")) & enough)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -363,8 +380,7 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Data
     their own id. Null ids take part in links but never name a component, unless it has no other. Repeated rows link by their text like any others.
     """
     sets = document_sets(docs, width, percent)
-    links = class_links(docs, sets, width, percent)
-    roots = materialise(components(links), "ngram-components")
+    roots = components(class_links(docs, sets, width, percent))
     classes = sets.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("_rep"))
     named = classes.join(roots, classes["signature"] == roots["node"], "left").select("signature", "_rep", F.coalesce("root", "signature").alias("_root"))
     least = named.groupBy("_root").agg(F.min("_rep").alias("_component"))
