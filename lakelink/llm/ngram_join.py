@@ -303,9 +303,13 @@ def _eights(blob: str):
 
 
 def pivot_pairs(classes: DataFrame, draw: int) -> DataFrame:
-    """(a, b): each class with the class that a hash puts first among those with one of its picks, unless both are one node already."""
-    held = classes.select("signature", "node", F.explode(_eights("picks")).alias("token"))
-    first = held.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(draw), "signature").alias("h"), "signature", "node")).alias("p"))
+    """(a, b): each class with the pivot of each of its picks, unless both are one node already.
+
+    The pivot is a class with few tokens of its own, as a copy with few changes is near to more of its group; later
+    rounds take the number less exactly and so draw others, by a hash.
+    """
+    held = classes.select("signature", "node", "single", F.explode(_eights("picks")).alias("token"))
+    first = held.groupBy("token").agg(F.min(F.struct(F.floor(F.col("single") / (4 * draw + 1)), F.xxhash64(F.lit(draw), "signature"), "signature", "node")).alias("p"))
     near = held.join(first, "token").filter(F.col("node") != F.col("p.node"))
     return near.select(F.least("signature", F.col("p.signature")).alias("a"), F.greatest("signature", F.col("p.signature")).alias("b")).distinct()
 
@@ -334,7 +338,7 @@ def fetch_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     return materialise(made.join(classes.select("signature", "n", "prefix_a", "prefix_b", "prefix_c"), "signature"), "ngram-full")
 
 
-def class_links(docs: DataFrame, sets: DataFrame, width: int, percent: int, pivot_rounds: int = 2) -> DataFrame:
+def class_links(docs: DataFrame, sets: DataFrame, width: int, percent: int, pivot_rounds: int = 3) -> DataFrame:
     """(a, b): links between classes that connect what all links connect."""
     alive = sets.filter(F.col("prefix_a").isNotNull() & (F.col("n") > 0))
     same = ("n", "single", "prefix_a", "prefix_b", "prefix_c", "picks")
