@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,12 @@ HEAD = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r?$", re.M)
 #: A gzip member without content. It ends in a zero byte, as does any member of under 16 MiB of content.
 EMPTY_MEMBER = (lambda c: c.flush())(zlib.compressobj(1, zlib.DEFLATED, 31))
 URN = "urn:page:"
+#: Payloads with copies (about 60 bytes each) that are broadcast at most; more are joined by shuffle.
+MOST_BROADCAST = 200_000
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: five hex digits (20 bits) make four base32 digits."""
-    hexed = F.sha1(payload)
+def base32(hexed: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: five hex digits (20 bits) make four base32 digits."""
     fives = (F.lpad(F.conv(F.substring(hexed, 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8))
     return F.translate(F.concat(*fives), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
@@ -42,12 +45,14 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload all respond. A null id refers to the least id, or responds where its group has no other.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload.cast("binary")).alias("digest"))
-    slim = rows.filter(F.col("payload_bytes") >= least_bytes).select("page_id", "digest", "payload_bytes")
-    first = slim.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    joined = rows.join(first, ["digest", "payload_bytes"], "left")
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("_sha1"))
+    slim = rows.filter(F.col("payload_bytes") >= least_bytes).select("page_id", "_sha1", "payload_bytes")
+    first = materialise(slim.groupBy("_sha1", "payload_bytes").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "warc-first")
+    if first.count() <= MOST_BROADCAST:
+        first = F.broadcast(first)
+    joined = rows.join(first, ["_sha1", "payload_bytes"], "left")
     refers = F.when(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "digest", refers.alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "payload_bytes", base32(F.col("_sha1")).alias("digest"), refers.alias("refers_to"))
 
 
 def record_text(rows: DataFrame) -> DataFrame:
@@ -117,17 +122,20 @@ def member(record: bytes, level: int = 6) -> bytes:
     return out if out[-1] == 0 else out + EMPTY_MEMBER
 
 
-NORMAL = "archive string, seq long, offset long, length long, record_type string, record_id string, uri string, digest string, member binary"
+INDEX = "offset long, length long, record_type string, record_id string, uri string, digest string"
+NORMAL = "kind string, archive string, seq long, value binary"
 
 
 def normalise(batches):
+    """For each record of each archive a row with its member, less the closing zero byte, and a row with its line of the index."""
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
             name = re.sub(r"^.*/|\..*$", "", path)
             rows, offset, used = [], 0, 0
             for seq, (fields, _, whole) in enumerate(records(content.as_buffer().to_pybytes())):
                 packed = member(whole)
-                rows.append((name, seq, offset, len(packed), fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-payload-digest"), packed))
+                line = {"offset": offset, "length": len(packed), "record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "uri": fields.get("warc-target-uri"), "digest": fields.get("warc-payload-digest")}
+                rows += [("warc", name, seq, packed[:-1]), ("index", name, seq, json.dumps(line).encode())]
                 offset += len(packed)
                 used += len(packed)
                 if used > 4 << 20:
@@ -138,26 +146,23 @@ def normalise(batches):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = [x.split() for x in NORMAL.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), names)], [n for n, _ in names])
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in NORMAL.split(", ")])
 
 
 def normalise_archives(spark: SparkSession, source: str, target: str, pattern: str = "*.gz") -> None:
-    """Rewrite the archives under ``source``: files of one member a record under ``target``/archives, the index under ``target``/index.
+    """Rewrite the archives under ``source``: files of one member a record under ``target``/kind=warc, their indexes under ``target``/kind=index.
 
-    Inflated records are written once as a table and the files made from it, so no file is inflated twice. An
-    archive becomes one file (its name is the folder ``archive=...``), whose bytes Spark's text writer puts
-    down: a member's last byte, always zero, is the line end.
+    Every archive is inflated once and by one task, which writes its file (its name is the folder ``archive=...``)
+    and its index (JSON lines, each ended by a zero byte). Spark's text writer puts down the bytes: a
+    member's last byte, always zero, is the line end.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(source).select("path", "content")
-    table = materialise(files.mapInArrow(normalise, NORMAL), "warc")
-    table.drop("member").write.parquet(f"{target}/index")
-    body = F.expr("substring(member, 1, length(member) - 1)").cast("string")
-    table.repartition("archive").sortWithinPartitions("archive", "seq").select("archive", body.alias("value")).write.partitionBy("archive").option("lineSep", "\0").text(f"{target}/archives")
+    rows = files.mapInArrow(normalise, NORMAL).sortWithinPartitions("kind", "archive", "seq")
+    rows.select("kind", "archive", F.col("value").cast("string").alias("value")).write.partitionBy("kind", "archive").option("lineSep", "\0").text(target)
 
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ = "archive string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def _page(urn: str | None) -> int | None:
@@ -165,31 +170,51 @@ def _page(urn: str | None) -> int | None:
     return int(number) if number else None
 
 
-def read_archive(index: pa.Table, files: pa.Table) -> pa.Table:
-    """Every record of one archive by its place in the index; each is inflated by itself."""
-    content = files.column("content")[0].as_buffer().to_pybytes() if files.num_rows else b""
-    out = []
-    for offset, length in zip(index.column("offset").to_pylist(), index.column("length").to_pylist()):
-        (fields, block, _), *rest = records(content[offset : offset + length])
-        if rest:
-            raise ValueError("more than one record in a member")
-        if fields["warc-type"] == "response":
-            payload = block[block.index(b"\r\n\r\n") + 4 :]
-            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        else:  # a revisit has no payload; its header has the full payload's figures
-            size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
-        out.append((_page(fields["warc-record-id"]), size, digest, fields["warc-type"], _page(fields.get("warc-refers-to"))))
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-    names = [x.split()[0] for x in READ.split(", ")]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names=names)
+def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each member of a file; an empty member belongs to the one before it."""
+    at = 0
+    while at < len(content):
+        begin, whole = at, b""
+        while at < len(content) and (at == begin or content[at : at + len(EMPTY_MEMBER)] == EMPTY_MEMBER):
+            stream = zlib.decompressobj(31)
+            whole += stream.decompress(memoryview(content)[at:])
+            if not stream.eof:
+                raise ValueError("the gzip stream ends early")
+            at = len(content) - len(stream.unused_data)
+        yield begin, at - begin, whole
+
+
+def read_records(batches):
+    for batch in batches:
+        for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content")):
+            out = []
+            for offset, length, whole in members(content.as_buffer().to_pybytes()):
+                head, _, block = whole[:-4].partition(b"\r\n\r\n")
+                fields = {k.decode().strip().lower(): v.decode("utf-8", "replace") for k, v in HEAD.findall(head)}
+                if fields["warc-type"] == "response":
+                    payload = block[block.index(b"\r\n\r\n") + 4 :]
+                    size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                else:  # a revisit has no payload; its header has the full payload's figures
+                    size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
+                out.append((archive, offset, length, _page(fields["warc-record-id"]), size, digest, fields["warc-type"], _page(fields.get("warc-refers-to"))))
+            names = [x.split()[0] for x in READ.split(", ")]
+            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in READ.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names)
 
 
 def read_archives(spark: SparkSession, target: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read back through the index."""
-    index = spark.read.parquet(f"{target}/index").select("archive", "offset", "length")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{target}/archives")
-    files = files.select(F.regexp_extract("path", "archive=([^/]+)/", 1).alias("archive"), "content")
-    return index.groupBy("archive").cogroup(files.groupBy("archive")).applyInArrow(read_archive, READ)
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record that stands where the index says it does."""
+    archive = F.regexp_extract("path", "archive=([^/]+)/", 1).alias("archive")
+    under = lambda kind, form: spark.read.format(form).option("recursiveFileLookup", "true").option("lineSep", "\0").load(f"{target}/kind={kind}")
+    try:
+        lines, files = under("index", "text"), under("warc", "binaryFile")
+    except AnalysisException as e:  # no record, no folder
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], READ).drop("archive", "offset", "length")
+    index = lines.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", INDEX).alias("i")).select(archive, "i.offset", "i.length")
+    found = files.select(archive, "content").mapInArrow(read_records, READ)
+    return found.join(index, ["archive", "offset", "length"]).drop("archive", "offset", "length")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
