@@ -93,26 +93,23 @@ def inflate(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """(header fields by lower-case name, block, the record's bytes) for each record of an archive, in one pass over it."""
-    held, pieces = bytearray(), inflate(content)
-    more = True
-    while more or held:
-        head_end = held.find(b"\r\n\r\n")
-        fields = {k.decode("latin-1").strip().lower(): v.decode("utf-8", "replace") for k, v in HEAD.findall(held[:head_end])} if head_end >= 0 else {}
-        need = head_end + 4 + int(fields.get("content-length", 0)) + 4 if head_end >= 0 else len(held) + 1
-        if len(held) < need:
-            if (piece := next(pieces, None)) is None:
-                more = False
-                if held.strip():
-                    raise ValueError("the archive ends within a record")
-                held.clear()
-            else:
-                held += piece
-            continue
-        if not held.startswith(b"WARC/") or held[need - 4 : need] != b"\r\n\r\n":
-            raise ValueError("not a WARC record")
-        whole = bytes(held[:need])
-        del held[:need]
-        yield fields, whole[head_end + 4 : -4], whole
+    held, at, pieces = b"", 0, inflate(content)
+    while True:
+        head_end = held.find(b"\r\n\r\n", at)
+        if head_end >= 0:
+            fields = {k.decode("latin-1").strip().lower(): v.decode("utf-8", "replace") for k, v in HEAD.findall(held[at:head_end])}
+            end = head_end + 4 + int(fields.get("content-length", 0)) + 4
+            if end <= len(held):
+                if not held.startswith(b"WARC/", at) or held[end - 4 : end] != b"\r\n\r\n":
+                    raise ValueError("not a WARC record")
+                yield fields, held[head_end + 4 : end - 4], held[at:end]
+                at = end
+                continue
+        if (piece := next(pieces, None)) is None:
+            if held[at:].strip():
+                raise ValueError("the archive ends within a record")
+            return
+        held, at = held[at:] + piece, 0
 
 
 def member(record: bytes, level: int = 6) -> bytes:
@@ -170,18 +167,20 @@ def _page(urn: str | None) -> int | None:
     return int(number) if number else None
 
 
-def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+def members(content: bytes, step: int = 8192) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, content) of each member of a file; an empty member belongs to the one before it."""
     at = 0
     while at < len(content):
-        begin, whole = at, b""
+        begin, whole = at, []
         while at < len(content) and (at == begin or content[at : at + len(EMPTY_MEMBER)] == EMPTY_MEMBER):
             stream = zlib.decompressobj(31)
-            whole += stream.decompress(memoryview(content)[at:])
-            if not stream.eof:
-                raise ValueError("the gzip stream ends early")
-            at = len(content) - len(stream.unused_data)
-        yield begin, at - begin, whole
+            while not stream.eof:
+                piece = content[at : at + step]
+                if not piece:
+                    raise ValueError("the gzip stream ends early")
+                whole.append(stream.decompress(piece))
+                at += len(piece) - len(stream.unused_data)
+        yield begin, at - begin, b"".join(whole)
 
 
 def read_records(batches):
