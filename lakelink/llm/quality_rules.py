@@ -109,13 +109,37 @@ def text_counts(window: int = 8):
     return run
 
 
-def _distance(p, q):
-    """Jensen-Shannon distance (base 2) of two arrays of counts; null where either has no mass."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    half = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    sp, sq = total(p), total(q)
-    terms = F.zip_with(p, q, lambda a, b: half(a / sp, (a / sp + b / sq) / 2) + half(b / sq, (a / sp + b / sq) / 2))
-    return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms) / 2)))
+def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance (base 2) of the rows of two tables of counts; nan where either row has no mass."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, q = p / p.sum(1, keepdims=True), q / q.sum(1, keepdims=True)
+        m = (p + q) / 2
+        part = lambda x: np.where(x > 0, x * np.log2(x / m), 0.0).sum(1)
+        out = np.sqrt(np.maximum(0.0, (part(p) + part(q)) / 2))
+    return np.where(np.isnan(p).any(1) | np.isnan(q).any(1), np.nan, out)
+
+
+def judge(min_words: int, min_chars: int, max_class: float, max_word: float):
+    def run(batches):
+        for batch in batches:
+            column = lambda c: batch.column(c)
+            number = lambda c: column(c).to_numpy(zero_copy_only=False)
+            words, chars = number("n_words"), number("word_chars")
+            long, got = (words >= min_words) & (chars >= min_chars) & column("_class").is_valid().to_numpy(zero_copy_only=False), []
+            for counts, ref in (("class_counts", "_class"), ("word_counts", "_word")):
+                out = np.full(batch.num_rows, np.nan)
+                if long.any():
+                    mask = pa.array(long)
+                    rows = lambda c: column(c).filter(mask).flatten().to_numpy(zero_copy_only=False).reshape(int(long.sum()), -1).astype(float)
+                    out[long] = distances(rows(counts), rows(ref))
+                got.append(out)
+            failed = (words < 20) | (100 * number("n_repeat_words") > 30 * words)
+            kept = ~failed & ~(got[0] > max_class) & ~(got[1] > max_word)  # nan exceeds nothing
+            names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+            cols = [*map(column, names), pa.array(failed), pa.array(kept), *(pa.array(g, from_pandas=True) for g in got)]
+            yield pa.RecordBatch.from_arrays(cols, [*names, "base_failed", "kept", "class_distance", "word_distance"])
+
+    return run
 
 
 def distribution_divergence(
@@ -142,12 +166,6 @@ def distribution_divergence(
     refs = materialise(refs, "rules-refs")
     if refs.count() <= most_languages:
         refs = F.broadcast(refs)
-    doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
-    got = counts.join(refs, counts["lang"].eqNullSafe(refs["_lang"]), "left")
-    got = got.withColumns({
-        "class_distance": F.when(long, _distance(doubles(F.col("class_counts")), doubles(F.col("_class")))),
-        "word_distance": F.when(long, _distance(doubles(F.col("word_counts")), doubles(F.col("_word")))),
-        "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-    })
-    over = F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False))
-    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"), "class_distance", "word_distance")
+    got = counts.join(refs, counts["lang"].eqNullSafe(refs["_lang"]), "left").drop("lang", "_lang")
+    result = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
+    return got.mapInArrow(judge(min_words, min_chars, max_class_distance, max_word_distance), result)
