@@ -1,3 +1,58 @@
-"""DuckDB SQL for those of the queries that SQL can express."""
+"""DuckDB SQL for those of the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others have none: op2 and op7 train models, op3 and op4 need tokenizer libraries, op6 hashes with functions
+that DuckDB lacks, op8 reads back files, op1's references depend on logarithms of sums that both engines
+round differently at the limits. They are tested against brute force, round trips and held-out labels.
+"""
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLDED = f"translate(COALESCE(text, ''), '{UPPER}', '{LOWER}')"
+
+OP5 = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ip AS (SELECT DISTINCT item_id, k, win FROM (SELECT item_id, LEAST(10, len(w)) AS k, unnest(list_transform(range(1, GREATEST(1, len(w) - 9) + 1), lambda i: array_to_string(w[i:i + LEAST(10, len(w)) - 1], ' '))) AS win FROM iw WHERE len(w) > 0)),
+dp AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM ip) WHERE len(w) >= k)),
+hits AS (SELECT doc_id, item_id, i, k FROM dp JOIN ip USING (k, win)),
+words AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, COUNT(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n, 0) AS n_items, sha256(COALESCE(s, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_KINDS = (
+    ("assign", 0, r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 3, 6),
+    ("access", 1, r"AKIA[A-Z0-9]+", 2, 20),
+    ("hex", 2, r"[0-9a-f]{24,}", 2, 24),
+)
+
+
+def _kind(name: str, number: int, pattern: str, group: int, least: int) -> str:
+    both = rf"(?s)(.*?)(?:({pattern})|\z)"
+    part = lambda g: f"unnest(regexp_extract_all(text, '{both}', {g}))"
+    return f"""SELECT doc_id, source, lang, {number} AS k, '{name}' AS kind, e - length(whole) AS s, e, val FROM (
+  SELECT *, SUM(length(pre) + length(whole)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, source, lang, {part(1)} AS pre, {part(2)} AS whole, {part(group)} AS val, generate_subscripts(regexp_extract_all(text, '{both}', 1), 1) AS i
+  FROM (SELECT * FROM documents WHERE regexp_matches(text, '{pattern}')))) WHERE whole <> '' AND length(val) >= {least}"""
+
+
+OP9 = f"""
+WITH base AS ({" UNION ALL ".join(_kind(*k) for k in _KINDS)}),
+spread AS (SELECT val, COUNT(DISTINCT COALESCE(source, '')) AS owners, COUNT(DISTINCT COALESCE(source, '') || '/' || COALESCE(lang, '')) AS repos FROM base GROUP BY val),
+entropy AS (SELECT val, -SUM(n / length(val) * log2(n / length(val))) AS h FROM (SELECT val, c, COUNT(*) AS n FROM (SELECT val, unnest(string_split(val, '')) AS c FROM spread) GROUP BY ALL) GROUP BY val),
+judged AS (SELECT val, owners > 1 AS copied, owners <= 1 AND repos <= 2 AND length(val) >= 16 AND h >= 3.0 AND NOT regexp_matches(val, '(?i)example|sample|dummy|changeme|placeholder|your|test|x{{4}}|0{{6}}|1234') AS live FROM spread JOIN entropy USING (val)),
+marked AS (SELECT * FROM base JOIN judged USING (val)),
+live AS (SELECT DISTINCT doc_id, e - length(val) AS s, 3 AS k, 'live' AS kind, e FROM marked WHERE live),
+counts AS (SELECT doc_id, COUNT(*) FILTER (k = 0) AS n_assign, COUNT(*) FILTER (k = 1) AS n_access, COUNT(*) FILTER (k = 2) AS n_hex, COUNT(*) FILTER (copied) AS n_copied,
+  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k, e) AS spans FROM marked GROUP BY doc_id),
+every AS (SELECT doc_id, COUNT(*) FILTER (k = 3) AS n_live, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k, e) AS spans FROM (SELECT doc_id, s, k, kind, e FROM marked UNION ALL SELECT doc_id, s, k, kind, e FROM live) GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex, sha256(COALESCE(c.spans, '')) AS base_sha256, COALESCE(a.spans, '') AS spans, COALESCE(n_live, 0) AS n_live, COALESCE(n_copied, 0) AS n_copied
+FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN every a USING (doc_id)"""
+
+OP10 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(range(1, GREATEST(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], chr(10)))) AS s FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * COUNT(*) >= 75 * (x.n + y.n - COUNT(*))),
+reach AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.a)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, c.r AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, MIN(r) AS r FROM reach GROUP BY a) c ON c.a = d.doc_id"""
+
+ORACLES: dict[str, str] = {"op5_wu_manber": OP5, "op9_secret_ownership": OP9, "op10_multi_order_jaccard": OP10}
