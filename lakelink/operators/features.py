@@ -63,6 +63,11 @@ def weighted_cosine(pairs: DataFrame, post: DataFrame, df: DataFrame, n: int, a:
     return pairs.join(value, [a, b], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Deal pairs out to all shuffle partitions: rows are small but costly to score, so merging partitions by size would leave a few tasks with all the work."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("float")
 
@@ -96,7 +101,7 @@ def staged_features(pairs: DataFrame, rare: DataFrame | None = None) -> DataFram
     a map-side set of the pair's own words, so only words that both sides have are joined.
     """
     a, b = F.col("s1"), F.col("cand")
-    scored = pairs.withColumns({"_name": S.staged_scores(a["name_normalized"], b["name_normalized"]), "_addr": S.staged_scores(a["address_normalized"], b["address_normalized"])})
+    scored = spread(pairs).withColumns({"_name": S.staged_scores(a["name_normalized"], b["name_normalized"]), "_addr": S.staged_scores(a["address_normalized"], b["address_normalized"])})
     if rare is None:
         scored = scored.withColumns({c: F.lit(0.0) for c in ("rare_count", "rare_frac_s1", "rare_frac_cand", "rare_has")})
     else:
@@ -127,7 +132,7 @@ RELATIVE = ("n_tset", "a_tset", "num_jac", "n_concat", "n_ratio")
 def pool_features(pairs: DataFrame, pool: str, entity: str) -> DataFrame:
     """Pipeline B's features for pairs with context columns, ``src``, and the texts p_name, p_addr, s_name, s_addr; a_wcos and n_wcos come from ``weighted_cosine``."""
     pn, sn, pa, sa = (F.col(c) for c in ("p_name", "s_name", "p_addr", "s_addr"))
-    scored = pairs.withColumns({"_n": S.pool_scores(pn, sn), "_a": S.pool_scores(pa, sa)})
+    scored = spread(pairs).withColumns({"_n": S.pool_scores(pn, sn), "_a": S.pool_scores(pa, sa)})
     made = {f"n_{k}": F.col("_n")[k] for k in ("ratio", "tset", "tsort", "partial", "jw", "concat", "concat_partial")} | {f"a_{k}": F.col("_a")[k] for k in ("ratio", "tset", "tsort", "partial")}
     made |= number_overlap(pa, sa) | token_overlap("a", pa, sa) | {"a_len_p": F.size(T.words(pa)), "a_len_s": F.size(T.words(sa))}
     made |= token_overlap("n", pn, sn) | {"n_len_p": F.length(pn), "n_len_s": F.length(sn), "p_nonlatin": T.is_non_latin(pn).cast("int")}
