@@ -1,8 +1,8 @@
 """DuckDB SQL for those of the queries that SQL can express.
 
 The others have none: op2 and op7 train models, op3 and op4 need tokenizer libraries, op6 hashes with functions
-that DuckDB lacks, op8 reads back files, op1's references depend on logarithms of sums that both engines
-round differently at the limits. They are tested against brute force, round trips and held-out labels.
+that DuckDB lacks, op8 reads back files; SQL for op1 has not been written. They are tested against brute force,
+round trips and held-out labels.
 """
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
