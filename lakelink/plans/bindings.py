@@ -52,14 +52,32 @@ pairs AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pool ORDER BY score DESC, en
 truth AS (SELECT pool, MIN(entity) AS entity FROM lines WHERE route = 'R' AND status = 'O' GROUP BY pool)"""
 
 
-def records(spark, d) -> DataFrame:
-    """Documents as records: the source is the id modulo 3, the first 12 words are the name, the next 18 the address."""
-    words = F.split(F.lower(F.translate("text", "\n", " ")), " ")
-    cut = lambda a, n: F.array_join(F.slice(words, a, n), " ")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3 + 1).cast("int").alias("src"), F.col("lang").alias("country"), cut(1, 12).alias("name"), cut(13, 18).alias("addr"))
+#: The sources of documents that make up the reference side; all others are pool sources.
+REFERENCE_SOURCES = tuple(f"src{k}" for k in range(7))
+
+
+def texts(spark, d) -> DataFrame:
+    """Documents as records: the name is the whole text, the address its source; reference sources are source 1, all others source 2."""
+    name = F.lower(F.replace("text", F.lit("\n"), F.lit(" ")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("source").isin(*REFERENCE_SOURCES), 1).otherwise(2).alias("src"), F.col("lang").alias("country"), name.alias("name"), F.col("source").alias("addr"))
 
 
-RECORDS_SQL = """
-words AS (SELECT doc_id, lang, string_split(lower(replace(text, chr(10), ' ')), ' ') AS w FROM documents),
-records AS (SELECT doc_id AS id, CAST(doc_id % 3 + 1 AS INTEGER) AS src, lang AS country, array_to_string(w[1:12], ' ') AS name, array_to_string(w[13:30], ' ') AS addr FROM words),
+_TOKENS_SQL = """
 tokens AS (SELECT DISTINCT id, src, country, term FROM (SELECT id, src, country, unnest(string_split(name, ' ')) AS term FROM records) WHERE term <> '')"""
+
+TEXTS_SQL = f"""
+records AS (SELECT doc_id AS id, CASE WHEN source IN {REFERENCE_SOURCES} THEN 1 ELSE 2 END AS src, lang AS country, lower(replace(text, chr(10), ' ')) AS name, source AS addr FROM documents),{_TOKENS_SQL}"""
+
+
+def records(spark, d) -> DataFrame:
+    """Pages as short records: the host is the name, the rest of the address the address, its language the country; plain pages are source 1, mobile ones 3, the others 2."""
+    url = F.lower("url")
+    src = F.when(url.startswith("http://"), 1).when(url.contains("://m."), 3).otherwise(2)
+    name = F.translate(F.regexp_extract(url, "^[a-z]+://([^/?#]*)", 1), ".", " ")
+    addr = F.trim(F.regexp_replace(F.regexp_extract(url, "^[a-z]+://[^/?#]*(.*)$", 1), "[^a-z0-9]+", " "))
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), src.alias("src"), F.regexp_extract(url, "^[a-z]+://[^/]*/([a-z]+)/", 1).alias("country"), name.alias("name"), addr.alias("addr"))
+
+
+RECORDS_SQL = f"""
+records AS (SELECT page_id AS id, CASE WHEN url LIKE 'http://%' THEN 1 WHEN url LIKE '%://m.%' THEN 3 ELSE 2 END AS src, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS country, replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '.', ' ') AS name,
+  trim(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1), '[^a-z0-9]+', ' ', 'g')) AS addr FROM (SELECT page_id, lower(url) AS url FROM pages)),{_TOKENS_SQL}"""

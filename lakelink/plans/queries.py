@@ -12,7 +12,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import audit, blocking, features, learning, scoring, splits
 from ..sources import sinks
-from .bindings import CANDIDATES_SQL, RECORDS_SQL, SETS_SQL, Candidates, Sets, records, table
+from .bindings import CANDIDATES_SQL, RECORDS_SQL, SETS_SQL, TEXTS_SQL, Candidates, Sets, records, table, texts
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -308,40 +308,41 @@ def subset_violations(spark, d):
 # Terms and blocking
 
 
-@query(f"WITH {RECORDS_SQL} SELECT term, COUNT(*) AS df FROM tokens GROUP BY term")
+@query(f"WITH {TEXTS_SQL} SELECT term, COUNT(*) AS df FROM tokens GROUP BY term")
 def token_df(spark, d):
-    return blocking.document_frequency(blocking.postings(records(spark, d), ["id"], T.words(F.col("name"))))
+    return blocking.document_frequency(blocking.postings(texts(spark, d), ["id"], T.words(F.col("name"))))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT term, COUNT(*) AS df, ROUND(ln(((SELECT COUNT(*) FROM records WHERE src = 1) + 1) / (COUNT(*) + 1)) + 1, 6) AS idf FROM tokens WHERE src = 1 GROUP BY term")
+@query(f"WITH {TEXTS_SQL} SELECT term, COUNT(*) AS df, ROUND(ln(((SELECT COUNT(*) FROM records WHERE src = 1) + 1) / (COUNT(*) + 1)) + 1, 6) AS idf FROM tokens WHERE src = 1 GROUP BY term")
 def idf_table(spark, d):
-    train = records(spark, d).filter("src = 1")
+    train = texts(spark, d).filter("src = 1")
     return _round(blocking.idf_table(blocking.postings(train, ["id"], T.words(F.col("name"))), train))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT term, COUNT(*) AS df FROM tokens WHERE length(term) >= 3 GROUP BY term HAVING COUNT(*) BETWEEN 2 AND GREATEST(2, FLOOR((SELECT COUNT(*) FROM records) * 0.01))")
+@query(f"WITH {TEXTS_SQL} SELECT term, COUNT(*) AS df FROM tokens WHERE length(term) >= 3 GROUP BY term HAVING COUNT(*) BETWEEN 2 AND GREATEST(2, FLOOR((SELECT COUNT(*) FROM records) * 0.01))")
 def rare_vocab(spark, d):
-    every = records(spark, d)
+    every = texts(spark, d)
     return blocking.rare_terms(blocking.postings(every, ["id"], T.words(F.col("name"))), every, 0.01)
 
 
-_TFIDF = f"""WITH {RECORDS_SQL}, n AS (SELECT country, COUNT(DISTINCT id) AS n FROM tokens GROUP BY country), df AS (SELECT country, term, COUNT(*) AS df FROM tokens GROUP BY ALL HAVING COUNT(*) <= 100),
+_TFIDF = f"""WITH {TEXTS_SQL}, n AS (SELECT country, COUNT(DISTINCT id) AS n FROM tokens GROUP BY country), df AS (SELECT country, term, COUNT(*) AS df FROM tokens GROUP BY ALL HAVING COUNT(*) <= 100),
 w AS (SELECT t.id, t.src, t.country, t.term, ln((n + 1) / (df + 1)) + 1 AS w FROM tokens t JOIN df USING (country, term) JOIN n USING (country)),
 v AS (SELECT id, src, country, term, w / sqrt(SUM(w * w) OVER (PARTITION BY id)) AS w FROM w),
 sim AS (SELECT q.id AS pool, t.id AS entity, ROUND(SUM(q.w * t.w), 9) AS score FROM v q JOIN v t ON q.country = t.country AND q.term = t.term AND q.src <> 1 AND t.src = 1 GROUP BY ALL),
 top AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pool ORDER BY score DESC, entity) - 1 AS rank FROM sim WHERE score > 0.01)"""
 
 
-def _top(spark, d):
-    every = records(spark, d)
-    v = blocking.tfidf(blocking.postings(every, ["country", "id", "src"], T.words(F.col("name"))), "country", "id", 100).withColumn("src", F.col("id") % 3 + 1)
+def _top(every):
+    """Each pool record's ten most similar reference records of its country."""
+    keyed = every.select("country", F.struct("src", "id").alias("rec"), "name")
+    v = blocking.tfidf(blocking.postings(keyed, ["country", "rec"], T.words(F.col("name"))), "country", "rec", 100).select("country", "term", "w", "rec.src", "rec.id")
     q, t = v.filter("src <> 1").withColumnRenamed("id", "pool"), v.filter("src = 1").withColumnRenamed("id", "entity")
     return blocking.similarity_top_k(q, t, "country", "pool", "entity", 10)
 
 
-@query(f"{_TFIDF} SELECT pool, entity, ROUND(score, 6) AS score, rank FROM top WHERE rank < 10")
+@query(f"{_TFIDF} SELECT pool, entity, FLOOR(score * 1000000 + 0.5) / 1000000 AS score, rank FROM top WHERE rank < 10")
 def tfidf_topk(spark, d):
-    return _round(_top(spark, d))
+    return _top(texts(spark, d)).withColumn("score", F.floor(F.col("score") * 1000000 + 0.5) / 1000000)  # halves go up in either engine
 
 
 @query("""WITH v AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings), n AS (SELECT vec_id, sqrt(SUM(CAST(x AS DOUBLE) * x)) AS n FROM v GROUP BY 1), u AS (SELECT vec_id, label, i, x / NULLIF(n, 0) AS x FROM v JOIN n USING (vec_id)),
@@ -382,20 +383,20 @@ def token_jaccard_pairs(spark, d):
 q AS (SELECT id, term, pow(ln((1000 + 1) / (df + 1)) + 1, 2) AS w FROM tokens JOIN alldf USING (term)), nn AS (SELECT id, sqrt(SUM(w)) AS n FROM q GROUP BY id)
 SELECT pool, entity, ROUND(SUM(a.w) / GREATEST(MAX(x.n * y.n), 1e-6), 6) AS n_wcos FROM p JOIN q a ON a.id = pool JOIN q b ON b.id = entity AND a.term = b.term JOIN nn x ON x.id = pool JOIN nn y ON y.id = entity GROUP BY pool, entity""")
 def weighted_cosine_pairs(spark, d):
-    pairs = _top(spark, d).filter("rank < 3").select("pool", "entity")
-    post = blocking.postings(records(spark, d), ["id"], T.words(F.col("name")))
+    pairs = _top(texts(spark, d)).filter("rank < 3").select("pool", "entity")
+    post = blocking.postings(texts(spark, d), ["id"], T.words(F.col("name")))
     return _round(features.weighted_cosine(pairs, post, blocking.document_frequency(post), 1000, "pool", "entity", "id", "n_wcos"))
 
 
 _GRAMS = f"""WITH {RECORDS_SQL}, grams AS (SELECT DISTINCT id, src, term FROM (SELECT id, src, unnest(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3))) AS term FROM records WHERE length(name) >= 3)),
-pool AS (SELECT id AS record, term FROM grams WHERE src = 2), df AS (SELECT term, COUNT(*) AS df FROM pool GROUP BY term),
+pool AS (SELECT id AS record, term FROM grams WHERE src <> 1), df AS (SELECT term, COUNT(*) AS df FROM pool GROUP BY term),
 anchor AS (SELECT query, term, df, place FROM (SELECT id AS query, term, df, ROW_NUMBER() OVER (PARTITION BY id ORDER BY df, term) AS place FROM grams JOIN df USING (term) WHERE src = 1) WHERE place <= 8)"""
 
 
 def _grams(spark, d):
     every = records(spark, d)
-    post = lambda s, k: blocking.postings(every.filter(f"src = {s}").withColumnRenamed("id", k), [k], T.trigrams(F.col("name")))
-    q, p = post(1, "query"), post(2, "record")
+    post = lambda side, k: blocking.postings(every.filter(side).withColumnRenamed("id", k), [k], T.trigrams(F.col("name")))
+    q, p = post("src = 1", "query"), post("src <> 1", "record")
     return q, p, blocking.anchors(q, blocking.document_frequency(p), "query", 8)
 
 
@@ -416,14 +417,14 @@ def posting_shortlist(spark, d):
     return blocking.shortlist(a, p, "query", "record", 50, 20)
 
 
-_WORDS = f"""WITH {RECORDS_SQL}, pool AS (SELECT id AS record, term FROM tokens WHERE src = 2), df AS (SELECT term, COUNT(*) AS df FROM pool WHERE length(term) >= 2 GROUP BY term HAVING COUNT(*) <= 20),
+_WORDS = f"""WITH {RECORDS_SQL}, pool AS (SELECT id AS record, term FROM tokens WHERE src <> 1), df AS (SELECT term, COUNT(*) AS df FROM pool WHERE length(term) >= 2 GROUP BY term HAVING COUNT(*) <= 20),
 rare AS (SELECT DISTINCT query, record FROM (SELECT query, term FROM (SELECT id AS query, term, ROW_NUMBER() OVER (PARTITION BY id ORDER BY df, term) AS p FROM tokens JOIN df USING (term) WHERE src = 1) WHERE p <= 8) JOIN pool USING (term))"""
 
 
 def _words(spark, d, column="name"):
     every = records(spark, d)
-    post = lambda s, k: blocking.postings(every.filter(f"src = {s}").withColumnRenamed("id", k), [k], T.words(F.col(column)))
-    return post(1, "query"), post(2, "record")
+    post = lambda side, k: blocking.postings(every.filter(side).withColumnRenamed("id", k), [k], T.words(F.col(column)))
+    return post("src = 1", "query"), post("src <> 1", "record")
 
 
 @query(f"{_WORDS} SELECT query, record FROM rare")
@@ -431,13 +432,13 @@ def rare_route(spark, d):
     return blocking.rare_route(*_words(spark, d), "query", "record", 20, 8)
 
 
-_PARTS = """WITH parts AS (SELECT DISTINCT doc_id AS id, doc_id % 3 + 1 AS src, unnest(regexp_extract_all(text, '[0-9]{5,}')) AS term FROM documents),
-comp AS (SELECT DISTINCT query, record FROM (SELECT a.id AS query, b.id AS record, ROW_NUMBER() OVER (PARTITION BY a.id, a.term ORDER BY b.id) AS p FROM parts a JOIN parts b USING (term) WHERE a.src = 1 AND b.src = 2) WHERE p <= 50)"""
+_PARTS = f"""WITH {TEXTS_SQL}, parts AS (SELECT DISTINCT id, src, unnest(regexp_extract_all(name, '[0-9]{{5,}}')) AS term FROM records),
+comp AS (SELECT DISTINCT query, record FROM (SELECT a.id AS query, b.id AS record, ROW_NUMBER() OVER (PARTITION BY a.id, a.term ORDER BY b.id) AS p FROM parts a JOIN parts b USING (term) WHERE a.src = 1 AND b.src <> 1) WHERE p <= 50)"""
 
 
 def _parts(spark, d):
-    every = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all("text", F.lit("([0-9]{5,})"), F.lit(1))).alias("term")).distinct()
-    return (every.filter(f"id % 3 + 1 = {s}").withColumnRenamed("id", k) for s, k in ((1, "query"), (2, "record")))
+    every = texts(spark, d).select("id", "src", F.explode(F.regexp_extract_all("name", F.lit("([0-9]{5,})"), F.lit(1))).alias("term")).distinct()
+    return (every.filter(side).withColumnRenamed("id", k) for side, k in (("src = 1", "query"), ("src <> 1", "record")))
 
 
 @query(f"{_PARTS} SELECT query, record FROM comp")
@@ -445,7 +446,7 @@ def component_route(spark, d):
     return blocking.component_route(*_parts(spark, d), "query", "record", 50)
 
 
-@query(f"""{_SHORT}, words_pool AS (SELECT id AS record, term FROM tokens WHERE src = 2), wdf AS (SELECT term, COUNT(*) AS df FROM words_pool WHERE length(term) >= 2 GROUP BY term HAVING COUNT(*) <= 20),
+@query(f"""{_SHORT}, words_pool AS (SELECT id AS record, term FROM tokens WHERE src <> 1), wdf AS (SELECT term, COUNT(*) AS df FROM words_pool WHERE length(term) >= 2 GROUP BY term HAVING COUNT(*) <= 20),
 rare AS (SELECT DISTINCT query, record FROM (SELECT query, term FROM (SELECT id AS query, term, ROW_NUMBER() OVER (PARTITION BY id ORDER BY df, term) AS p FROM tokens JOIN wdf USING (term) WHERE src = 1) WHERE p <= 8) JOIN words_pool USING (term)),
 routed AS (SELECT query, record, 'name' AS route, hits / 11.0 AS score FROM short UNION ALL SELECT query, record, 'rare', 0.0 FROM rare),
 top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query, route ORDER BY score DESC, record) AS rank FROM routed) WHERE rank <= 5)
@@ -486,16 +487,17 @@ def relative_features(spark, d):
     return _round(features.relative(Candidates(spark, d).pairs.select("pool", "entity", "score"), "pool", ["score"]))
 
 
-@query("""WITH p AS (SELECT a.doc_id AS pool, b.doc_id AS entity, a.source, list_distinct(regexp_extract_all(a.text, '[0-9]+')) AS x, list_distinct(regexp_extract_all(b.text, '[0-9]+')) AS y, regexp_extract(a.text, '[0-9]+') AS fx, regexp_extract(b.text, '[0-9]+') AS fy
-FROM documents a JOIN documents b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id), q AS (SELECT *, len(list_intersect(x, y)) AS i FROM p)
+@query(f"""{_TFIDF}, d AS (SELECT id, list_distinct(regexp_extract_all(name, '[0-9]+')) AS x, regexp_extract(name, '[0-9]+') AS f FROM records),
+q AS (SELECT pool, entity, a.x, b.x AS y, a.f AS fx, b.f AS fy, len(list_intersect(a.x, b.x)) AS i FROM top JOIN d a ON a.id = pool JOIN d b ON b.id = entity WHERE rank < 10)
 SELECT pool, entity, i AS num_inter, len(x) AS num_p, len(y) AS num_s, ROUND(i / GREATEST(len(x) + len(y) - i, 1), 6) AS num_jac, CAST(len(x) > 0 AND len(y) > 0 AND i = 0 AS BIGINT) AS num_conflict, CAST(len(x) > 0 AND i = len(x) AS BIGINT) AS num_p_subset,
 CAST(fx <> '' AND fy <> '' AND CAST(NULLIF(fx, '') AS HUGEINT) = CAST(NULLIF(fy, '') AS HUGEINT) AS BIGINT) AS first_num_eq FROM q""")
 def numeric_overlap_features(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.concat_ws(" ", T.digit_runs(F.col("text"))).alias("numbers"))  # only the numbers are joined
-    a = docs.select(F.col("doc_id").alias("pool"), "lang", "source", F.col("numbers").alias("x"))
-    b = docs.select(F.col("doc_id").alias("entity"), "lang", "source", F.col("numbers").alias("y"))
+    every = texts(spark, d)
+    numbers = every.select("id", F.concat_ws(" ", T.digit_runs(F.col("name"))).alias("numbers"))  # only the numbers are joined
+    a = numbers.select(F.col("id").alias("pool"), F.col("numbers").alias("x"))
+    b = numbers.select(F.col("id").alias("entity"), F.col("numbers").alias("y"))
     made = features.number_overlap(F.col("x"), F.col("y"))
-    return _round(a.join(b, ["lang", "source"]).filter("pool < entity").select("pool", "entity", *(c.alias(n) for n, c in made.items())))
+    return _round(_top(every).join(a, "pool").join(b, "entity").select("pool", "entity", *(c.alias(n) for n, c in made.items())))
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, levenshtein(a, b) AS distance FROM part_pairs")
@@ -515,7 +517,7 @@ def fuzz_ratios(spark, d):
 
 @query()
 def nfkc_normalize(spark, d):
-    return records(spark, d).select("id", T.prepare("name").alias("name"), T.pool_record("name", "addr").alias("r")).select("id", "name", "r.nname", "r.naddr", F.array_join("r.toks", " ").alias("toks"))
+    return texts(spark, d).select("id", T.prepare("name").alias("name"), T.pool_record("name", "addr").alias("r")).select("id", "name", "r.nname", "r.naddr", F.array_join("r.toks", " ").alias("toks"))
 
 
 @query()
@@ -525,13 +527,13 @@ def numeric_evidence(spark, d):
 
 
 def _pair_frame(spark, d):
-    """Candidate pairs of the similarity join with both normalised records; a pair is true if the documents have the same source."""
-    pairs = _top(spark, d)
-    view = records(spark, d).withColumn("source", F.col("src")).select("id", "name", "addr", T.normalized_record("name", "addr").alias("r"))
+    """Candidate pairs of the similarity join with both normalised records; a pair is true if the pages have the same source."""
+    pairs = _top(records(spark, d))
+    view = records(spark, d).select("id", F.col("src").alias("source"), T.normalized_record("name", "addr").alias("r"))
     a = view.select(F.col("id").alias("entity"), F.col("r").alias("s1"))
-    b = view.select(F.col("id").alias("pool"), F.col("r").alias("cand"))
+    b = view.select(F.col("id").alias("pool"), F.col("r").alias("cand"), "source")
     meta = F.create_map(F.lit("name"), F.struct((F.col("rank") + 1).alias("rank"), F.col("score").alias("score")))
-    return pairs.join(a, "entity").join(b, "pool").select("pool", "entity", "s1", "cand", F.col("score").alias("best_score"), meta.alias("metadata"), (F.col("pool") % 3 + 1).alias("source"))
+    return pairs.join(a, "entity").join(b, "pool").select("pool", "entity", "s1", "cand", F.col("score").alias("best_score"), meta.alias("metadata"), "source")
 
 
 @query()
@@ -543,7 +545,7 @@ def staged_pair_features(spark, d):
 
 @query()
 def pool_pair_features(spark, d):
-    pairs = features.context(_top(spark, d), "pool", "entity").withColumn("src", F.col("pool") % 3 + 1)
+    pairs = features.context(_top(records(spark, d)), "pool", "entity").join(records(spark, d).select(F.col("id").alias("pool"), "src"), "pool")
     view = records(spark, d).select("id", T.pool_record("name", "addr").alias("r"))
     side = lambda key, p: view.select(F.col("id").alias(key), F.col("r.nname").alias(f"{p}_name"), F.col("r.naddr").alias(f"{p}_addr"))
     full = features.pool_features(pairs.join(side("pool", "p"), "pool").join(side("entity", "s"), "entity"), "pool", "entity")
