@@ -10,7 +10,8 @@ from .common import fold_remainder, table
 
 
 def op1_distribution_divergence(spark, sf_dir):
-    return quality_rules.distribution_divergence(table(spark, sf_dir, "documents"))
+    got = quality_rules.distribution_divergence(table(spark, sf_dir, "documents"))
+    return got.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def quality_weights(spark, sf_dir):
