@@ -1,10 +1,10 @@
 """Line dedup by content-defined chunks of lines.
 
-A hash that rolls over the hashes of neighbouring lines decides after which lines a chunk ends, so the
-same lines are cut alike wherever they stand. A few rules of cutting (``LAYERS``) run side by side; a
-passage that one rule joins to what surrounds it is usually cut clean by another. Very long lines are chunks by
-themselves. A chunk whose text occurs elsewhere in the corpus is removed from all but its first place, after
-its bytes were compared with those of the first place.
+Every line begins a chunk and ends one: the shortest run of two lines or more, from that line on or up to
+it, that has ``min_chars`` characters. The lines of a chunk alone decide where it ends, so the same lines are
+chunked alike wherever they stand, and the chunks inside any repeated passage that is long enough cover each of its
+lines, whatever surrounds it. Very long lines are chunks by themselves too. A chunk whose text occurs elsewhere
+in the corpus is removed from all but its first place, after its bytes were compared with those of the first place.
 
 Only DataFrame functions are used. Three slim joins find the repeated chunks; texts move once to fetch
 the text of first places and once to be cut.
@@ -17,59 +17,57 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Rules of cutting: lines in the rolling window, and a salt.
-LAYERS = ((1, 11), (1, 23), (2, 37))
-
-
 def fixed(df: DataFrame, **made: Column) -> DataFrame:
     """Add columns behind a one-row generator, so that the optimizer can't copy their expressions into lambdas that would make them anew for every element."""
     kept = df.columns
     return df.select(*kept, F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items())))).alias("_made")).select(*kept, "_made.*")
 
 
-def line_chunks(df: DataFrame, one_in: int, long_words: int) -> DataFrame:
-    """Add ``_ends``: for each layer the 1-based numbers of the lines after which a chunk ends. Needs ``_lines``; adds ``_hashes`` and ``_long`` too."""
-    df = fixed(df, _hashes=F.transform("_lines", lambda x: F.xxhash64(x)), _long=F.transform("_lines", lambda x: F.size(F.split(x, " ")) >= long_words))
-    n = F.size("_lines")
-
-    def ends(window: int, salt: int):
-        def end(i: Column) -> Column:
-            rolled = F.xxhash64(F.lit(salt), F.slice("_hashes", F.greatest(F.lit(1), i - (window - 1)), F.least(i, F.lit(window))))
-            return (i == n) | (F.pmod(rolled, F.lit(one_in)) == 0) | F.element_at("_long", i) | F.element_at("_long", F.least(i + 1, n))
+def line_chunks(df: DataFrame, long_words: int, min_chars: int) -> DataFrame:
+    """Add ``_places``: (first, n) of each chunk, lines counted from 1. Needs ``_lines``."""
+    df = fixed(df, _chars=F.transform("_lines", F.length), _long=F.transform("_lines", lambda x: (F.size(F.split(x, " ")) >= long_words) & (F.length(x) >= min_chars)))
+    i_of, most = F.sequence(F.lit(1), F.size("_lines")), max(2, min_chars + 1)  # a line break is a character
 
-        return F.filter(F.sequence(F.lit(1), n), end)
+    def enough(run: Column) -> Column:
+        return (run["n"] > 1) & (run["chars"] >= min_chars)
 
-    return fixed(df, _ends=F.array(*(ends(w, s) for w, s in LAYERS)))
+    def longer(run: Column, chars: Column) -> Column:
+        return F.when(enough(run), run).otherwise(F.struct((run["n"] + 1).alias("n"), (run["chars"] + 1 + chars).alias("chars")))
 
+    def needed(i: Column, beside: Column, onward: Column) -> Column:
+        run = F.aggregate(onward, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("chars")), longer, lambda r: F.when(enough(r), r["n"]).otherwise(0))
+        return F.when(F.element_at("_chars", i) + 1 + beside >= min_chars, 2).otherwise(run)
 
-def _places(ends: Column) -> Column:
-    """(first, n) of each chunk of a layer."""
-    first = F.concat(F.array(F.lit(1)), F.transform(ends, lambda i: i + 1))
-    return F.zip_with(F.slice(first, F.lit(1), F.size(ends)), ends, lambda f, e: F.struct(f.alias("first"), (e - f + 1).alias("n")))
+    ahead = F.transform(i_of, lambda i: needed(i, F.get("_chars", i), F.slice("_chars", i, most)))
+    behind = F.transform(i_of, lambda i: needed(i, F.get("_chars", i - 2), F.reverse(F.slice("_chars", F.greatest(F.lit(1), i - (most - 1)), F.least(i, F.lit(most))))))
+    df = fixed(df, _ahead=ahead, _behind=behind)
+    place = lambda first, n: F.struct(first.alias("first"), n.alias("n"))
+    begun = F.transform("_ahead", lambda n, i: place(i + 1, n))
+    ended = F.filter(F.transform("_behind", lambda n, i: place(i + 2 - n, n)), lambda c: (c["n"] > 0) & (F.get("_ahead", c["first"] - 1) != c["n"]))
+    single = F.transform(F.filter(i_of, lambda i: F.element_at("_long", i)), lambda i: place(i, F.lit(1)))
+    return fixed(df, _places=F.concat(F.filter(begun, lambda c: c["n"] > 0), ended, single)).drop("_chars", "_long", "_ahead", "_behind")
 
 
 def _text(lines: Column, at: Column) -> Column:
     return F.array_join(F.slice(lines, at["first"], at["n"]), "\n")
 
 
-def dedup_lines(docs: DataFrame, one_in: int = 2, long_words: int = 50, min_chars: int = 80) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int = 50, min_chars: int = 80) -> DataFrame:
     """All columns of documents, with the repeated chunks cut out of ``text``, then ``n_cut_lines`` (a column of that name in the input is replaced).
 
     The first place of a chunk is the one with the least (doc_id, hash of the document, line); null ids come
-    first. Chunks are at least two lines, or one of ``long_words`` words or more, and ``min_chars`` characters. Rows
+    first. Chunks are at least two lines, or one of ``long_words`` words or more, and ``min_chars`` characters; so every
+    run of lines of that size that also stands at an earlier place goes. A place that overlaps the first one is no copy. Rows
     alike in id and text count as one document and get one result. Null texts stay null, texts without a
     repeated chunk stay as they are; a text that is cut whole becomes empty.
     """
     docs = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     lines = F.split(F.col("text"), "\n", -1)
     found = docs.filter(F.col("text").isNotNull() & (F.length("text") >= min_chars))
-    found = line_chunks(fixed(found.select("_key", "doc_id", "text"), _lines=lines).drop("text"), one_in, long_words)
-    every = F.array_distinct(F.flatten(F.transform("_ends", _places)))
-    found = found.select("_key", "doc_id", "_lines", "_long", F.explode(every).alias("_at"))
-    body = _text(F.col("_lines"), F.col("_at"))
-    worth = (F.col("_at.n") > 1) | F.element_at("_long", F.col("_at.first"))
-    found = found.filter(worth).select("_key", "doc_id", "_at", body.alias("_body")).filter(F.length("_body") >= min_chars)
-    found = found.select(F.xxhash64("_body").alias("_chunk"), F.struct("doc_id", "_key", F.col("_at.first").alias("first"), F.col("_at.n").alias("n")).alias("_place"))
+    found = line_chunks(fixed(found.select("_key", "doc_id", "text"), _lines=lines).drop("text"), long_words, min_chars)
+    hashed = F.transform("_places", lambda c: F.struct(F.xxhash64(_text(F.col("_lines"), c)).alias("chunk"), c.alias("at")))
+    found = found.select("_key", "doc_id", F.explode(hashed).alias("_c"))
+    found = found.select(F.col("_c.chunk").alias("_chunk"), F.struct("doc_id", "_key", F.col("_c.at.first").alias("first"), F.col("_c.at.n").alias("n")).alias("_place"))
     found = materialise(found, "line-chunks")  # 40 bytes or so for each chunk, no text
 
     repeated = found.groupBy("_chunk").agg(F.min("_place").alias("_home"), F.max("_place").alias("_else")).filter("_home <> _else").select("_chunk", "_home")
@@ -80,7 +78,8 @@ def dedup_lines(docs: DataFrame, one_in: int = 2, long_words: int = 50, min_char
         .select(F.col("_h._chunk").alias("_chunk"), F.col("_h._home").alias("_home"), _text(F.col("_lines"), F.col("_h._home")).alias("_body"))
     )
     bodies = bodies.groupBy("_chunk").agg(F.first("_home").alias("_home"), F.first("_body").alias("_body"))
-    copies = found.join(bodies, "_chunk").filter(F.col("_place") != F.col("_home"))
+    apart = (F.col("_place._key") != F.col("_home._key")) | (F.col("_place.first") >= F.col("_home.first") + F.col("_home.n"))
+    copies = found.join(bodies, "_chunk").filter((F.col("_place") != F.col("_home")) & apart)
     per_doc = copies.groupBy(F.col("_place._key").alias("_doc")).agg(F.collect_set(F.struct(F.col("_place.first").alias("first"), F.col("_place.n").alias("n"), "_body")).alias("_copies"))
 
     joined = docs.join(per_doc, docs["_key"] == per_doc["_doc"], "left").drop("_doc")

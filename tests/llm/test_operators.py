@@ -210,6 +210,37 @@ def test_line_dedup_repeated_rows_and_in_one_text(spark):
     assert len(got) == 4 and got[1] == got[2]
 
 
+def every_run(texts, long_words=50, min_chars=80):
+    """The texts without any line of a run that also stands, clear of it, at an earlier place; all runs are tried."""
+    lines = [t.split("\n") for t in texts]
+    first, cut = {}, [set() for _ in lines]
+    for d, ls in enumerate(lines):
+        for i in range(len(ls)):
+            for j in range(i + 1, len(ls) + 1):
+                run = "\n".join(ls[i:j])
+                if len(run) >= min_chars and (j - i > 1 or len(run.split(" ")) >= long_words):
+                    e, k = first.setdefault(run, (d, i))
+                    if (e, k) != (d, i) and (e != d or i >= k + j - i):
+                        cut[d] |= set(range(i, j))
+    return ["\n".join(x for i, x in enumerate(ls) if i not in c) for ls, c in zip(lines, cut)], [len(c) for c in cut]
+
+
+def test_line_dedup_cuts_every_repeated_run(spark):
+    """Passages of a few lines inside differing texts, and random texts of a few lines (empty, short, over 80 letters, over 50 words), against all runs."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(60):
+        shared = "\n".join(passage(f"s{k}x{j}", 30) for j in range(2 + k % 4))
+        texts += [f"{passage(f'a{k}', 30)}\n{shared}\n{passage(f'b{k}', 30)}", f"{passage(f'c{k}', 30)}\n{shared}\n{passage(f'd{k}', 30)}"]
+    some = ["", "x", "twenty letters or so", "thirty letters or a few more ñ", passage("m", 12), passage("n", 20), passage("o", 60)]
+    texts += ["\n".join(some[j] for j in rng.integers(0, len(some), rng.integers(1, 14))) for _ in range(60)] + ["\n".join(["aa bb"] * 60), "\n".join([passage("z", 20)] * 5)]
+    want, n_cut = every_run(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in rows(line_dedup.dedup_lines(docs))}
+    assert [got[i]["text"] for i in range(len(texts))] == want and [got[i]["n_cut_lines"] for i in range(len(texts))] == n_cut
+    assert all(got[2 * k + 1]["n_cut_lines"] == 2 + k % 4 for k in range(60))
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(300)]
