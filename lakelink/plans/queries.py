@@ -332,10 +332,10 @@ sim AS (SELECT q.id AS pool, t.id AS entity, ROUND(SUM(q.w * t.w), 9) AS score F
 top AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pool ORDER BY score DESC, entity) - 1 AS rank FROM sim WHERE score > 0.01)"""
 
 
-def _top(every):
-    """Each pool record's ten most similar reference records of its country."""
+def _top(every, max_df=100):
+    """Each pool record's ten most similar reference records of its country, by terms of at most ``max_df`` records; the SQL of the queries that have it says 100, the reference 3000."""
     keyed = every.select("country", F.struct("src", "id").alias("rec"), "name")
-    v = blocking.tfidf(blocking.postings(keyed, ["country", "rec"], T.words(F.col("name"))), "country", "rec", 100).select("country", "term", "w", "rec.src", "rec.id")
+    v = blocking.tfidf(blocking.postings(keyed, ["country", "rec"], T.words(F.col("name"))), "country", "rec", max_df).select("country", "term", "w", "rec.src", "rec.id")
     q, t = v.filter("src <> 1").withColumnRenamed("id", "pool"), v.filter("src = 1").withColumnRenamed("id", "entity")
     return blocking.similarity_top_k(q, t, "country", "pool", "entity", 10)
 
@@ -528,7 +528,7 @@ def numeric_evidence(spark, d):
 
 def _pair_frame(spark, d):
     """Candidate pairs of the similarity join with both normalised records; a pair is true if the pages have the same source."""
-    pairs = _top(records(spark, d))
+    pairs = _top(records(spark, d), 3000)
     view = records(spark, d).select("id", F.col("src").alias("source"), T.normalized_record("name", "addr").alias("r"))
     a = view.select(F.col("id").alias("entity"), F.col("r").alias("s1"))
     b = view.select(F.col("id").alias("pool"), F.col("r").alias("cand"), "source")
@@ -545,7 +545,7 @@ def staged_pair_features(spark, d):
 
 @query()
 def pool_pair_features(spark, d):
-    pairs = features.context(_top(records(spark, d)), "pool", "entity").join(records(spark, d).select(F.col("id").alias("pool"), "src"), "pool")
+    pairs = features.context(_top(records(spark, d), 3000), "pool", "entity").join(records(spark, d).select(F.col("id").alias("pool"), "src"), "pool")
     view = records(spark, d).select("id", T.pool_record("name", "addr").alias("r"))
     side = lambda key, p: view.select(F.col("id").alias(key), F.col("r.nname").alias(f"{p}_name"), F.col("r.naddr").alias(f"{p}_addr"))
     full = features.pool_features(pairs.join(side("pool", "p"), "pool").join(side("entity", "s"), "entity"), "pool", "entity")
