@@ -30,10 +30,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one whose id names the component. Documents without words stay."""
-    linked = ngram_join.linked_documents(docs)
-    gone = linked.filter((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each group of linked rows: the one of the least id, null ids last, and among repeated ids any one. Rows go by a key of their own, never by their id. Rows without words stay."""
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "near-duplicate-rows")
+    linked = materialise(ngram_join.linked_documents(keyed.select(F.col("_row").alias("doc_id"), "text")).withColumnsRenamed({"doc_id": "_row", "component_id": "_group"}), "near-duplicate-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    named = linked.filter("n_shingles > 0").join(keyed.select("_row", "doc_id"), "_row").groupBy("_group").agg(first.alias("_row")).select("_row")
+    return keyed.join(named.union(linked.filter("n_shingles = 0").select("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

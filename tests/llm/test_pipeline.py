@@ -34,6 +34,16 @@ def test_stages(spark, sf):
     assert sum(r["length"] for r in after.collect()) == total and after.agg({"sequence_id": "max"}).first()[0] == (total - 1) // 1024
 
 
+def test_near_duplicates_go_by_row(spark, sf):
+    """Null ids, repeated rows, and an id that two different texts share."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    data = [(1, text["a"]), (1, text["a"]), (None, text["a"]), (2, text["a"] + " end"), (3, text["b"]), (4, text["b"]), (4, text["c"]), (None, text["d"]), (None, text["d"]), (5, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in pipeline.near_duplicates(spark, docs, sf).collect()]
+    want = [(1, text["a"]), (3, text["b"]), (4, text["c"]), (None, text["d"]), (5, ""), (None, None), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_run_is_the_stages(spark, sf):
     got = pipeline.run(spark, sf)
     assert got.count() > 0 and np.all(got.select("length").toPandas().length <= 1024)
