@@ -1,6 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window that reads like
+Two zstandard dictionaries share a part trained on text of both labels and end with words that lean to toxic or to
+ordinary text (``contrast``). A window that reads like
 toxic text compresses shorter with the toxic dictionary than with the ordinary one. The differences of a
 document's windows, summed up as a few statistics, go through a logistic calibration that is fitted on
 labelled rows which the dictionaries have not seen.
