@@ -6,8 +6,9 @@ chunked alike wherever they stand, and the chunks inside any repeated passage th
 lines, whatever surrounds it. Very long lines are chunks by themselves too. A chunk whose text occurs elsewhere
 in the corpus is removed from all but its first place, after its bytes were compared with those of the first place.
 
-Only DataFrame functions are used. Three slim joins find the repeated chunks; texts move once to fetch
-the text of first places and once to be cut.
+Only DataFrame functions are used. Slim joins find the repeated chunks. Texts move only where they may hold a first place, to
+fetch it, or a copy, to be cut: bitmaps of the keys of such documents, of a fixed size, are held against all
+documents where they are read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Bits of a bitmap of keys, 8 MB at most. Of more keys than bits it lets through ever more documents, which then move without need.
+KEY_BITS = 1 << 26
+
+
 def fixed(df: DataFrame, **made: Column) -> DataFrame:
     """Add columns behind a one-row generator, so that the optimizer can't copy their expressions into lambdas that would make them anew for every element."""
     kept = df.columns
@@ -52,6 +57,21 @@ def _text(lines: Column, at: Column) -> Column:
     return F.array_join(F.slice(lines, at["first"], at["n"]), "\n")
 
 
+def key_bitmap(keys: DataFrame, bits: int = KEY_BITS) -> DataFrame:
+    """(bucket, bits): a bitmap of the hashes of ``_key``, a row for each 32,768 bits in use."""
+    at = F.pmod("_key", F.lit(bits)) + 1
+    return keys.select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def marked(rows: DataFrame, bitmap: DataFrame, bits: int = KEY_BITS) -> DataFrame:
+    """Add ``_may``: may the row's ``_key`` be one of the bitmap's? Its size is bounded, so it is broadcast."""
+    at = F.pmod("_key", F.lit(bits)) + 1
+    found = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(at) == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.bitmap_bit_position(at) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.getbit(byte, (F.bitmap_bit_position(at) % 8).cast("int")) == 1
+    return found.withColumn("_may", F.coalesce(may, F.lit(False))).drop("_bucket", "_bits")
+
+
 def dedup_lines(docs: DataFrame, long_words: int = 50, min_chars: int = 80) -> DataFrame:
     """All columns of documents, with the repeated chunks cut out of ``text``, then ``n_cut_lines`` (a column of that name in the input is replaced).
 
@@ -59,36 +79,38 @@ def dedup_lines(docs: DataFrame, long_words: int = 50, min_chars: int = 80) -> D
     first. Chunks are at least two lines, or one of ``long_words`` words or more, and ``min_chars`` characters; so every
     run of lines of that size that also stands at an earlier place goes. A place that overlaps the first one is no copy. Rows
     alike in id and text count as one document and get one result. Null texts stay null, texts without a
-    repeated chunk stay as they are; a text that is cut whole becomes empty.
+    repeated chunk stay as they are; a text that is cut whole becomes empty. Other columns may have any names.
     """
-    docs = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    lines = F.split(F.col("text"), "\n", -1)
-    found = docs.filter(F.col("text").isNotNull() & (F.length("text") >= min_chars))
-    found = line_chunks(fixed(found.select("_key", "doc_id", "text"), _lines=lines).drop("text"), long_words, min_chars)
+    columns = [c for c in docs.columns if c != "n_cut_lines"]
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"))
+    text, split = F.col("_row.text"), lambda c: F.split(c, "\n", -1)
+    found = rows.filter(text.isNotNull() & (F.length(text) >= min_chars)).select("_key", F.col("_row.doc_id").alias("_id"), split(text).alias("_split"))
+    found = line_chunks(fixed(found, _lines=F.col("_split")).drop("_split"), long_words, min_chars)
     hashed = F.transform("_places", lambda c: F.struct(F.xxhash64(_text(F.col("_lines"), c)).alias("chunk"), c.alias("at")))
-    found = found.select("_key", "doc_id", F.explode(hashed).alias("_c"))
-    found = found.select(F.col("_c.chunk").alias("_chunk"), F.struct("doc_id", "_key", F.col("_c.at.first").alias("first"), F.col("_c.at.n").alias("n")).alias("_place"))
-    found = materialise(found, "line-chunks")  # 40 bytes or so for each chunk, no text
+    found = found.select("_key", "_id", F.explode(hashed).alias("_c"))
+    found = materialise(found.select(F.col("_c.chunk").alias("_chunk"), "_id", "_key", F.col("_c.at.first").alias("_first"), F.col("_c.at.n").alias("_n")), "line-chunks")  # 40 bytes or so for each chunk, no text
 
-    repeated = found.groupBy("_chunk").agg(F.min("_place").alias("_home"), F.max("_place").alias("_else")).filter("_home <> _else").select("_chunk", "_home")
-    texts = docs.select(F.col("_key").alias("_doc"), F.col("text").alias("_text_of"))
-    home_at = repeated.groupBy(F.col("_home._key").alias("_doc")).agg(F.collect_list(F.struct("_chunk", "_home")).alias("_homes"))
+    place = F.struct("_id", "_key", "_first", "_n")
+    repeated = materialise(found.groupBy("_chunk").agg(F.min(place).alias("_home"), F.count("*").alias("_places")).filter("_places > 1").select("_chunk", "_home"), "line-homes")
+    homes = repeated.select(F.col("_home._key").alias("_key"), F.struct("_chunk", "_home").alias("_h")).groupBy("_key").agg(F.collect_list("_h").alias("_homes"))
+    holders = marked(rows.select("_key", text.alias("_of")), key_bitmap(repeated.select("_home._key"))).filter("_may").select("_key", "_of")
     bodies = (
-        fixed(texts.join(home_at, "_doc"), _lines=F.split("_text_of", "\n", -1)).select("_lines", F.explode("_homes").alias("_h"))
-        .select(F.col("_h._chunk").alias("_chunk"), F.col("_h._home").alias("_home"), _text(F.col("_lines"), F.col("_h._home")).alias("_body"))
+        fixed(holders.join(homes, "_key"), _lines=split(F.col("_of"))).select("_lines", F.explode("_homes").alias("_h"))
+        .select(F.col("_h._chunk").alias("_chunk"), F.col("_h._home").alias("_home"), _text(F.col("_lines"), {"first": F.col("_h._home._first"), "n": F.col("_h._home._n")}).alias("_body"))
     )
-    bodies = bodies.groupBy("_chunk").agg(F.first("_home").alias("_home"), F.first("_body").alias("_body"))
-    apart = (F.col("_place._key") != F.col("_home._key")) | (F.col("_place.first") >= F.col("_home.first") + F.col("_home.n"))
-    copies = found.join(bodies, "_chunk").filter((F.col("_place") != F.col("_home")) & apart)
-    per_doc = copies.groupBy(F.col("_place._key").alias("_doc")).agg(F.collect_set(F.struct(F.col("_place.first").alias("first"), F.col("_place.n").alias("n"), "_body")).alias("_copies"))
-
-    joined = docs.join(per_doc, docs["_key"] == per_doc["_doc"], "left").drop("_doc")
-    joined = fixed(joined, _lines=F.when(F.col("_copies").isNotNull(), F.split("text", "\n", -1)))
-    same = F.filter("_copies", lambda c: _text(F.col("_lines"), c) == c["_body"])  # byte by byte
+    bodies = materialise(bodies.groupBy("_chunk").agg(F.first("_home").alias("_home"), F.first("_body").alias("_body")), "line-bodies")  # written, so that the next join can split a chunk of very many copies
+    apart = (F.col("_key") != F.col("_home._key")) | (F.col("_first") >= F.col("_home._first") + F.col("_home._n"))
+    copies = found.join(bodies, "_chunk").filter((place != F.col("_home")) & apart)
+    per_doc = materialise(copies.groupBy("_key").agg(F.collect_set(F.struct(F.col("_first").alias("first"), F.col("_n").alias("n"), F.col("_body").alias("body"))).alias("_copies")), "line-copies")
+
+    seen = marked(rows, key_bitmap(per_doc.select("_key")))
+    clean = seen.filter(~F.col("_may")).select(*(F.col("_row").getField(c).alias(c) for c in columns), F.lit(0).cast("long").alias("n_cut_lines"))
+    joined = seen.filter("_may").join(per_doc, "_key", "left").select("_row", "_copies")
+    joined = fixed(joined, _lines=F.when(F.col("_copies").isNotNull(), split(text)))
+    same = F.filter("_copies", lambda c: _text(F.col("_lines"), c) == c["body"])  # byte by byte
     cut = F.array_distinct(F.flatten(F.transform(same, lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1))))
     joined = fixed(joined, _cut=cut)
     left = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_cut", i + 1)), "\n")
     n_cut = F.coalesce(F.size(F.coalesce("_cut", F.array().cast("array<int>"))), F.lit(0))
-    text = F.when(n_cut > 0, left).otherwise(F.col("text"))
-    columns = [c for c in docs.columns if c not in ("_key", "n_cut_lines")]
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in columns), n_cut.cast("long").alias("n_cut_lines"))
+    kept = F.when(n_cut > 0, left).otherwise(text)
+    return clean.unionByName(joined.select(*(kept.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in columns), n_cut.cast("long").alias("n_cut_lines")))

@@ -210,6 +210,29 @@ def test_line_dedup_repeated_rows_and_in_one_text(spark):
     assert len(got) == 4 and got[1] == got[2]
 
 
+def test_line_dedup_any_column_names(spark):
+    """Names that the operator uses itself, and one with a dot, come through unharmed; ``n_cut_lines`` is replaced."""
+    body = "\n".join(passage(s, 30) for s in range(3))
+    names = ("_key", "_row", "_lines", "_copies", "_cut", "_doc", "_may", "_bits", "_bucket", "_id", "_chunk", "_made", "a.b", "n_cut_lines")
+    data = [(i, f"own {i}\n{body}" if i < 3 else "alone", *(f"{n}{i}" for n in names)) for i in range(4)]
+    docs = spark.createDataFrame(data, ["doc_id", "text", *names])
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", *names]
+    by = {r[0]: tuple(r) for r in got.collect()}
+    assert all(by[i][2:-1] == data[i][2:-1] for i in range(4)) and [by[i][-1] for i in range(4)] == [0, 3, 3, 0] and [by[i][1] for i in range(4)] == [data[0][1], "own 1", "own 2", "alone"]
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15])
+def test_key_bitmap(spark, bits):
+    """Every key of the bitmap is marked; with bits enough hardly another."""
+    keys = spark.range(0, 20_000).select(F.xxhash64("id").alias("_key"), (F.col("id") % 2 == 0).alias("in"))
+    got = line_dedup.marked(keys, line_dedup.key_bitmap(keys.filter("in").select("_key"), bits), bits)
+    assert got.filter("in and not _may").isEmpty() and got.count() == 20_000
+    others = got.filter("not in and _may").count()
+    assert others < 20 if bits > 1 << 15 else others > 1000
+    assert line_dedup.marked(keys, line_dedup.key_bitmap(keys.limit(0).select("_key"))).filter("_may").isEmpty()
+
+
 def every_run(texts, long_words=50, min_chars=80):
     """The texts without any line of a run that also stands, clear of it, at an earlier place; all runs are tried."""
     lines = [t.split("\n") for t in texts]
