@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, materialise, slices
+from .common import Memo, as_bytes, materialise, scratch, shared_dir, slices
 from .components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -107,8 +107,8 @@ def pack(width: int, bits: int, doc_type: str):
 
 def _packed(part, batch, width, bits, memo, doc_type):
     sets = [shingle_set(t, width, memo) for t in as_bytes(part, "text")]
-    sizes = np.array([len(s) for s in sets], np.uint32)
     tokens = [np.unique(s >> np.uint64(32 - bits)) if len(s) else s for s in sets]
+    sizes = np.array([[len(s) for s in sets], [len(t) for t in tokens]], np.uint32)  # shingles, and tokens left of them: two shingles of a document may have one token
     places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(t) for t in tokens])
     tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
     order = np.argsort(tokens, kind="stable")
@@ -192,9 +192,9 @@ def prefixes(percent: int):
         places = cat([*(np.frombuffer(r["places"], np.uint16) for r in rest), np.frombuffer(doc["kept_places"], np.uint16)], np.uint16)
         tokens = cat([*(wide(r, "tokens") for r in rest), kept], np.uint64)
         counts = cat([*(np.frombuffer(r["counts"], np.uint16) for r in rest), kept_counts], np.uint16)
-        sizes = np.frombuffer(doc["sizes"], np.uint32).astype(np.int64)
+        sizes, distinct = np.frombuffer(doc["sizes"], np.uint32).astype(np.int64).reshape(2, -1)
         shared = np.bincount(places, minlength=len(sizes))
-        need = sizes - (percent * sizes + 99) // 100 + 1 - (sizes - shared)  # prefix tokens left after those of frequency 1
+        need = sizes - (percent * sizes + 99) // 100 + 1 - (distinct - shared)  # prefix tokens left after those of frequency 1; what merged shortens the set and the overlap alike
         live = (need > 0)[places]
         places, tokens, counts = places[live], tokens[live], counts[live]
         mixed, other = _rest(tokens), _rest(tokens ^ np.uint64(0x5555555555))
@@ -212,7 +212,7 @@ def prefixes(percent: int):
             if len(t):
                 cols[3][i] = np.unique([t[np.argmin(_rest(t ^ np.uint64(salt)))] for salt in (3, 0xABCDEF)]).tobytes()
         signatures = [doc["signatures"][16 * i : 16 * i + 16] for i in range(len(sizes))]
-        rows = (doc["ids"], sizes, sizes - shared, signatures, *([c.get(i) for i in range(len(sizes))] for c in cols))
+        rows = (doc["ids"], sizes, distinct - shared, signatures, *([c.get(i) for i in range(len(sizes))] for c in cols))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     return run
@@ -384,10 +384,13 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Data
     their own id. Null ids take part in links but never name a component, unless it has no other. Repeated rows link by their text like any others.
     """
     sets = document_sets(docs, width, percent)
-    roots = components(class_links(docs, sets, width, percent))
-    classes = sets.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("_rep"))
-    named = classes.join(roots, classes["signature"] == roots["node"], "left").select("signature", "_rep", F.coalesce("root", "signature").alias("_root"))
-    least = named.groupBy("_root").agg(F.min("_rep").alias("_component"))
-    of = materialise(named.join(least, "_root").select(F.col("signature").alias("_signature"), "_component"), "ngram-named")
+    with scratch(docs.sparkSession):
+        roots = components(class_links(docs, sets, width, percent))
+        classes = sets.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("_rep"))
+        named = classes.join(roots, classes["signature"] == roots["node"], "left").select("signature", "_rep", F.coalesce("root", "signature").alias("_root"))
+        least = named.groupBy("_root").agg(F.min("_rep").alias("_component"))
+        path = shared_dir(docs.sparkSession, "ngram-named")
+        named.join(least, "_root").select(F.col("signature").alias("_signature"), "_component").write.parquet(path)
+    of = docs.sparkSession.read.parquet(path)
     joined = sets.select("doc_id", "n", "signature").join(of, F.when(F.col("n") > 0, F.col("signature")) == F.col("_signature"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"))

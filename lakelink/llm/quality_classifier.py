@@ -93,25 +93,33 @@ def train(rows: list[tuple[bytes, int]], bits: int = BITS, epochs: int = 4) -> n
     return out
 
 
-def features(docs: DataFrame, label: str, bits: int = BITS) -> DataFrame:
+def features(docs: DataFrame, keep: list[str], bits: int = BITS) -> DataFrame:
+    """The slots of each text, with the columns ``keep``."""
+
     def run(batches):
         memo = Memo(_token_hash)
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = [slots(t, memo, bits).astype(np.uint32).tobytes() for t in as_bytes(part, "text")]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), part.column(label)], ["slots", label])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *(part.column(c) for c in keep)], ["slots", *keep])
 
-    return docs.select("text", F.col(label).cast("int").alias(label)).mapInArrow(run, f"slots binary, {label} int")
+    kinds = dict(docs.dtypes)
+    return docs.select("text", *keep).mapInArrow(run, ", ".join(["slots binary", *(f"{c} {kinds[c]}" for c in keep)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, bits: int = BITS) -> np.ndarray:
-    """Train on at most ``most_rows`` labelled ids, those with the least hash; labels other than 0 and 1 are left out."""
-    sample = (
-        labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias(label)).filter(F.col(label).isin(0, 1) & F.col("_id").isNotNull())
-        .orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", label).limit(most_rows)
-    )
-    rows = features(docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"]).select("text", label), label, bits).limit(4 * most_rows).collect()
-    return train(sorted((bytes(r[0]), r[1]) for r in rows), bits)
+    """Train on at most ``most_rows`` labelled rows, those with the least hash of their id; labels other than 0 and 1 and null ids are left out.
+
+    Repeated ids, and an id that two rows label differently, give several rows, repeated rows one. Whatever the order and partitioning of
+    the input, the rows and their order, and so the weights, are the same.
+    """
+    key = ["_hash", "_id", "_y", "_text"]
+    known = labels.select(F.xxhash64(F.col("doc_id").cast("string")).alias("_hash"), F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull()).distinct()
+    sample = F.broadcast(known.orderBy(*key[:3]).limit(most_rows))  # ids alone; their rows may be more, so these are bounded next
+    labelled = docs.join(sample, docs["doc_id"] == sample["_id"]).select("text", *key[:3], F.xxhash64("text").alias("_text"))
+    bounded = F.broadcast(labelled.select(*key).distinct().orderBy(*key).limit(most_rows))
+    rows = features(labelled.join(bounded, key, "left_semi"), key, bits).dropDuplicates(key).collect()  # at most most_rows
+    return train([(bytes(r[0]), r["_y"]) for r in sorted(rows, key=lambda r: tuple(r[k] for k in key))], bits)
 
 
 def scorer(weights, bits: int = BITS):
@@ -141,7 +149,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> D
 
 
 def filter_documents(docs: DataFrame, weights: np.ndarray, least: float, bits: int = BITS) -> DataFrame:
-    """The rows of documents whose score is at least ``least``, with all their columns."""
+    """The rows of documents whose score is at least ``least``, with all their columns, whatever their names. Null and empty texts have the score of the bias alone; a null id and a repeated row stay or go by their text."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):

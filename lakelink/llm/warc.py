@@ -15,6 +15,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -27,7 +28,7 @@ END = "\r\n\r\n"
 HEAD = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r?$", re.M)
 #: A gzip member without content. It ends in a zero byte, as does any member of under 16 MiB of content.
 EMPTY_MEMBER = (lambda c: c.flush())(zlib.compressobj(1, zlib.DEFLATED, 31))
-URN = "urn:page:"
+URN = "urn:page"
 #: Payloads with copies (about 60 bytes each) that are broadcast at most; more are joined by shuffle.
 MOST_BROADCAST = 200_000
 
@@ -55,6 +56,11 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "payload", "payload_bytes", base32(F.col("_sha1")).alias("digest"), refers.alias("refers_to"))
 
 
+def urn(page_id: Column) -> Column:
+    """The record id of a page, whatever characters the page's id has; a null id is the bare name."""
+    return F.concat(F.lit(f"<{URN}"), F.coalesce(F.concat(F.lit(":"), F.url_encode(page_id.cast("string"))), F.lit("")), F.lit(">"))
+
+
 def record_text(rows: DataFrame) -> DataFrame:
     """One column ``value``: a WARC record without its closing blank lines."""
     revisit = F.col("refers_to").isNotNull()
@@ -63,10 +69,10 @@ def record_text(rows: DataFrame) -> DataFrame:
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit(f"<{URN}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
+        line("WARC-Record-ID", urn(F.col("page_id"))),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", " ")), line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("X-Payload-Length", F.col("payload_bytes").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit(f"<{URN}"), F.col("refers_to"), F.lit(">"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("refers_to"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
     return rows.select(F.concat(head, block).alias("value"))
@@ -152,19 +158,21 @@ def normalise_archives(spark: SparkSession, source: str, target: str, pattern: s
 
     Every archive is inflated once and by one task, which writes its file (its name is the folder ``archive=...``)
     and its index (JSON lines, each ended by a zero byte). Spark's text writer puts down the bytes: a
-    member's last byte, always zero, is the line end.
+    member's last byte, always zero, is the line end. A source without archives gives no files; an archive that is cut short, or holds anything but
+    WARC records, is an error. Spark hands a file over as one value, so an archive of 2 GB or more (compressed) is an error, too.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(source).select("path", "content")
     rows = files.mapInArrow(normalise, NORMAL).sortWithinPartitions("kind", "archive", "seq")
     rows.select("kind", "archive", F.col("value").cast("string").alias("value")).write.partitionBy("kind", "archive").option("lineSep", "\0").text(target)
 
 
-READ = "archive string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ = "archive string, offset long, length long, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
-def _page(urn: str | None) -> int | None:
-    number = (urn or "").strip("<>").removeprefix(URN)
-    return int(number) if number else None
+def page_of(urn: str | None) -> str | None:
+    """The page's id, as text, of a record id; None for the bare name and for no record id."""
+    _, colon, page = (urn or "").strip("<>").removeprefix(URN).partition(":")
+    return unquote_plus(page) if colon else None
 
 
 def members(content: bytes, step: int = 8192) -> Iterator[tuple[int, int, bytes]]:
@@ -195,14 +203,17 @@ def read_records(batches):
                     size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 else:  # a revisit has no payload; its header has the full payload's figures
                     size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
-                out.append((archive, offset, length, _page(fields["warc-record-id"]), size, digest, fields["warc-type"], _page(fields.get("warc-refers-to"))))
+                out.append((archive, offset, length, page_of(fields["warc-record-id"]), size, digest, fields["warc-type"], page_of(fields.get("warc-refers-to"))))
             names = [x.split()[0] for x in READ.split(", ")]
             kinds = [pa.string() if x.endswith("string") else pa.int64() for x in READ.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names)
 
 
-def read_archives(spark: SparkSession, target: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record that stands where the index says it does."""
+def read_archives(spark: SparkSession, target: str, id_type: str = "bigint") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; page ids have the type ``id_type``.
+
+    Every member has to stand where the index says it does, and the index may name no other: a difference is an error.
+    """
     archive = F.regexp_extract("path", "archive=([^/]+)/", 1).alias("archive")
     under = lambda kind, form: spark.read.format(form).option("recursiveFileLookup", "true").option("lineSep", "\0").load(f"{target}/kind={kind}")
     try:
@@ -210,16 +221,24 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
     except AnalysisException as e:  # no record, no folder
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], READ).drop("archive", "offset", "length")
-    index = lines.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", INDEX).alias("i")).select(archive, "i.offset", "i.length")
+        return _typed(spark.createDataFrame([], READ), id_type)
+    index = lines.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", INDEX).alias("i")).select(archive, "i.offset", "i.length", F.lit(True).alias("_listed"))
     found = files.select(archive, "content").mapInArrow(read_records, READ)
-    return found.join(index, ["archive", "offset", "length"]).drop("archive", "offset", "length")
+    joined = found.join(index, ["archive", "offset", "length"], "full")
+    both = F.col("_listed") & F.col("record_type").isNotNull()
+    said = F.concat(F.lit("index and archive differ at "), F.col("archive"), F.lit(" "), F.col("offset"))
+    return _typed(joined.withColumn("record_type", F.when(both, F.col("record_type")).otherwise(F.raise_error(said))), id_type)
+
+
+def _typed(read: DataFrame, id_type: str) -> DataFrame:
+    kinds = {c: id_type for c in ("page_id", "refers_to")}
+    return read.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")))
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write pages as monolithic archives, normalise these, read the records back."""
+    """Write pages as monolithic archives, normalise these, read the records back. Other columns may have any names; ids may be numbers or text."""
     spark = pages.sparkSession
     raw, target = shared_dir(spark, "warc-raw"), shared_dir(spark, "warc")
     write_monolithic(with_revisits(pages, least_bytes), raw)
     normalise_archives(spark, raw, target)
-    return read_archives(spark, target)
+    return read_archives(spark, target, dict(pages.dtypes)["page_id"])

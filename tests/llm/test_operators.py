@@ -80,6 +80,44 @@ def test_quality_classifier_held_out(spark, sf):
     assert scored.score.between(0, 1).all()
 
 
+def test_quality_classifier_brute_force(spark):
+    """Weights as FTRL-proximal gives them step by step over all coordinates, scores as dot products over a dictionary of slots; for any order of rows."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "Gamma", "###", "delta9", "the"], rng.integers(0, 30))) for _ in range(40)]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)] + [(3, None), (None, "x"), (0, texts[0])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(5, 0), (None, 1), (6, 3), (7, None), (1, 1)], "doc_id long, quality int")
+    bits = 8
+    weights = quality_classifier.fit(docs, labels, bits=bits)
+    assert np.array_equal(weights, quality_classifier.fit(docs.orderBy(F.desc("text")).repartition(5), labels.repartition(3), bits=bits))
+
+    memo = quality_classifier.Memo(quality_classifier._token_hash)
+    hashed = lambda c: spark.createDataFrame([(c,)], "c string").select(F.xxhash64("c")).first()[0]
+    known = {(i, y) for i, y in [*((i, i % 2) for i in range(20)), (5, 0)]}
+    sample = {(hashed(str(i)), i, y, hashed(t), t or "") for i, y in known for j, t in [*((k // 2, t) for k, t in enumerate(texts)), (3, None)] if j == i}
+    data = [(quality_classifier.slots(t.encode(), memo, bits).tolist(), y) for _, _, y, _, t in sorted(sample)]
+    share = sum(y for _, y in data) / len(data)
+    z, n, size = [0.0] * ((1 << bits) + 1), [0.0] * ((1 << bits) + 1), 1 << bits
+    weight = lambda i: 0.0 if abs(z[i]) <= 1e-4 else -(z[i] - np.sign(z[i]) * 1e-4) / ((1 + n[i] ** 0.5) / 0.5 + 1e-4)
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for k in order.permutation(len(data)):
+            found, y = data[k]
+            x = {i: 40.0 * c / len(found) for i, c in Counter(found).items()} | {size: 1.0}
+            p = 1 / (1 + np.exp(-sum(v * weight(i) for i, v in x.items())))
+            rate = min(1.0, 2 * (1 - share) / share) if y else min(1.0, 2 * share / (1 - share))
+            step = {i: (weight(i), (p - y) * v * rate) for i, v in x.items()}
+            for i, (w, g) in step.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * w
+                n[i] += g * g
+    want = np.array([weight(i) for i in range(size + 1)])
+    assert np.allclose(weights, want, atol=1e-5)
+    for r in rows(quality_classifier.score_documents(awkward(spark), weights, bits)):
+        if r["doc_id"] is not None and r["doc_id"] != 8:
+            found = quality_classifier.slots((TEXTS[r["doc_id"]] or "").encode(), memo, bits).tolist()
+            raw = weights[-1] + sum(40.0 * c / len(found) * float(weights[i]) for i, c in Counter(found).items())
+            assert r["score"] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-6)
+
+
 def test_classifier_edges(spark):
     weights = quality_classifier.train([(quality_classifier.slots(t.encode(), quality_classifier.Memo(quality_classifier._token_hash)).astype(np.uint32).tobytes(), y) for t, y in [("good words here", 1), ("### $$$ &&&", 0)] * 5])
     docs = awkward(spark)
@@ -116,6 +154,19 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert token_counts.token_counts(frame(spark, []), path).count() == 0
 
 
+def test_token_counts_join_stored_counts(spark, tmp_path):
+    """Stored counts are taken as they are, of this tokenizer alone; misses alone are encoded."""
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), f"file://{tmp_path}/cache"
+    token_counts.store_counts(frame(spark, ["stored text", None]), path, cache)
+    digest = token_counts.tokenizer_digest(path)
+    stored = spark.read.parquet(cache)
+    assert stored.count() == 2 and stored.filter(F.col("tokenizer") != digest).isEmpty()
+    false = token_counts.keyed(frame(spark, ["known", "other tokenizer"])).select("content", F.when(F.col("text") == "known", digest).otherwise("x").alias("tokenizer"), F.lit(777).cast("long").alias("n_tokens"))
+    false.write.mode("append").parquet(cache)
+    got = {r["doc_id"]: r["n_tokens"] for r in rows(token_counts.token_counts(frame(spark, ["known", "other tokenizer", "stored text", "", "new"]), path, cache))}
+    assert got[0] == 777 and got[1] < 20 and got[3] == 0 and spark.read.parquet(cache).count() == 6
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -170,7 +221,8 @@ def brute_contamination(text, items):
 @pytest.mark.parametrize("most", [50_000, 3])
 def test_decontamination(spark, most):
     bench = spark.createDataFrame(list(enumerate(BENCH, 9)), "item_id long, text string")
-    docs = frame(spark, [t for t in TEXTS if t not in (LONG, LONG + " more")])
+    inside = " ".join([*LONG.split()[:700], *BENCH[0].split(), *LONG.split()[700:1100], *BENCH[0].split()[:11], "end"])  # over several stretches
+    docs = frame(spark, [*(t for t in TEXTS if t not in (LONG, LONG + " more")), inside])
     texts = {r["doc_id"]: r["text"] for r in rows(docs)}
     got = rows(decontamination.contamination(docs, bench, most_windows=most))
     assert len(got) == len(texts)
@@ -179,7 +231,23 @@ def test_decontamination(spark, most):
     left = {r["doc_id"] for r in rows(decontamination.drop_contaminated(docs, bench, most_windows=most))}
     assert left == {r["doc_id"] for r in got if not r["contaminated"]}
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated").isEmpty()
-    assert decontamination.contamination(awkward(spark), bench).count() == awkward(spark).count()
+    whole = rows(decontamination.contamination(awkward(spark), bench, most_windows=most))  # with very long texts, a null id and repeated rows
+    assert len(whole) == len(TEXTS) + 3 and {r["n_words"] for r in whole if r["doc_id"] in (8, 9)} == {30_000, 30_001}
+    clash = docs.select("*", *(F.lit(1).alias(c) for c in ("row", "hit", "items", "n", "hits")))
+    assert decontamination.drop_contaminated(clash, bench, most_windows=most).columns == clash.columns and decontamination.contamination(clash, bench, most_windows=most).count() == len(texts)
+
+
+def test_decontamination_random(spark):
+    """Few different words, so that jumps of all lengths, near misses and overlapping occurrences arise."""
+    rng = np.random.default_rng(4)
+    make = lambda n: " ".join(rng.choice(list("abc"), n))
+    bench = [make(12) for _ in range(30)] + [make(n) for n in (1, 2, 3, 9, 10)][3:]
+    texts = [make(n) for n in rng.integers(0, 700, 40)] + [" ".join(bench[:3]), bench[4]]
+    tables = decontamination.build({w: {str(i) for i, b in enumerate(bench) if w in decontamination.item_windows(b.encode())} for b in bench for w in decontamination.item_windows(b.encode())})
+    got = decontamination.search(tables, [t.encode() for t in texts], decontamination.Memo(decontamination.xxhash.xxh3_64_intdigest))
+    for t, (hit, items) in zip(texts, got):
+        n, n_hit, n_items, sha, _ = brute_contamination(t, list(enumerate(bench)))
+        assert (len(hit), int(hit.sum()), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()) == (n, n_hit, n_items, sha)
 
 
 def passage(seed, n=12):
@@ -353,6 +421,32 @@ def test_warc_round_trip(spark):
     assert {r["record_type"] for r in small} == {"response"}
 
 
+def test_warc_text_ids_and_other_columns(spark):
+    """Ids as text, with blanks, brackets, breaks, of no length and null; extra columns with names that the operator uses itself."""
+    pages = [("a b", "u", "<p>1</p>"), ("<x>\r\n", "u", "<p>1</p>"), ("", "u", "two"), (None, "u", "two"), ("ñ/%2F+", "u", None), ("a b", "u", "<p>1</p>")]
+    data = [(*p, "1", "2", "3", "4", "5") for p in pages]
+    docs = spark.createDataFrame(data, "page_id string, url string, html string, _sha1 string, _first string, payload string, value string, refers_to string")
+    got = rows(warc.round_trip(docs))
+    assert Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == Counter([("a b", 8, "revisit", "<x>\r\n"), ("a b", 8, "revisit", "<x>\r\n"), ("<x>\r\n", 8, "response", None), ("", 3, "response", None), (None, 3, "revisit", ""), ("ñ/%2F+", 0, "response", None)])
+
+
+def test_warc_index_that_differs_is_an_error(spark, tmp_path):
+    import glob
+
+    raw, target = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
+    warc.write_monolithic(warc.with_revisits(spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(5)], "page_id long, url string, html string").coalesce(1)), raw)
+    warc.normalise_archives(spark, raw, target)
+    assert warc.read_archives(spark, target).count() == 5
+    (file,) = glob.glob(f"{tmp_path}/out/kind=index/*/part-*")
+    lines = open(file, "rb").read().split(b"\0")
+    for wrong in (lines[1:], [lines[0].replace(b'"offset": 0', b'"offset": 1'), *lines[1:]]):
+        open(file, "wb").write(b"\0".join(wrong))
+        for crc in glob.glob(f"{tmp_path}/out/kind=index/*/.*crc"):
+            __import__("os").remove(crc)
+        with pytest.raises(Exception, match="index and archive differ"):
+            warc.read_archives(spark, target).collect()
+
+
 def test_warc_files_are_members_of_their_own(spark, tmp_path):
     import glob
     import gzip
@@ -425,6 +519,20 @@ def test_ngram_join(spark, monkeypatch, small):
     assert got == brute_links(texts)
 
 
+def test_ngram_prefixes_count_merged_tokens():
+    """A set of 8 shingles of which two share a token: the prefix has as many tokens as without the merge, less those of frequency 1."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in ngram_join.COUNTED.split(", ")]
+    tokens = np.arange(7, dtype=np.uint32)  # 7 tokens of 8 shingles, all of frequency 2
+    doc = {"batch": 0, "key": -1, "ids": [5], "sizes": np.array([[8], [7]], np.uint32).tobytes(), "signatures": b"s" * 16, "kept": b"", "kept_places": b""}
+    part = {"batch": 0, "key": 0, "places": np.zeros(7, np.uint16).tobytes(), "tokens": tokens.tobytes(), "counts": np.full(7, 2, np.uint16).tobytes(), "often": b"", "often_counts": b""}
+    kinds = {"batch": pa.int64(), "key": pa.int64(), "ids": pa.list_(pa.int64())}
+    table = pa.Table.from_arrays([pa.array([r.get(n) for r in (doc, part)], kinds.get(n, pa.binary())) for n in names], names=names)
+    got = ngram_join.prefixes(75)(table).to_pylist()[0]
+    assert got["single"] == 0 and len(got["prefix_a"]) == 8 * (8 - 6 + 1)
+
+
 def test_ngram_join_edges(spark):
     got = rows(ngram_join.linked_documents(awkward(spark)))
     assert len(got) == len(TEXTS) + 3 and [r["component_id"] for r in got if r["doc_id"] == 5] == [5, 5, 5]
