@@ -71,6 +71,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(conf).delete(at, True)
 
 
+def filter_in_arrow(docs: DataFrame, run) -> DataFrame:
+    """``docs.mapInArrow`` for a function that drops rows and reads ``text`` alone: all columns come back, whatever their names (Spark's own takes no dots in them)."""
+    plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that a piece holds about ``most`` bytes of ``column``; one row at least."""
     import numpy as np

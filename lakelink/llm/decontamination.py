@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, materialise, slices
+from .common import Memo, as_bytes, filter_in_arrow, materialise, slices
 
 WINDOW = 10
 #: Test strings whose tables are broadcast at a time: 50 MB or so.
@@ -225,5 +225,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             before.unpersist()
         before = docs.sparkSession.sparkContext.broadcast(tables)
         scan = scanned(before)
-        docs = docs.mapInArrow(lambda batches, scan=scan: (part.filter(pa.array([not h.any() for h, _ in rows], pa.bool_())) for part, rows in scan(batches)), docs.schema)
+        docs = filter_in_arrow(docs, lambda batches, scan=scan: (part.filter(pa.array([not h.any() for h, _ in rows], pa.bool_())) for part, rows in scan(batches)))
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, slices
+from .common import Memo, as_bytes, filter_in_arrow, slices
 
 BITS = 18
 #: Training rows at most: the documented bound of the sample.
@@ -158,4 +158,4 @@ def filter_documents(docs: DataFrame, weights: np.ndarray, least: float, bits: i
             for part in slices(batch, "text"):
                 yield part.filter(pa.array([score(t) >= least for t in as_bytes(part, "text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_in_arrow(docs, run)
