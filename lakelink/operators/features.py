@@ -126,6 +126,25 @@ def staged_features(pairs: DataFrame, rare: DataFrame | None = None) -> DataFram
     return scored.select(*keep, *(c.cast("float").alias(n) for n, c in made.items()))
 
 
+def with_records(pairs: DataFrame, entities: DataFrame, pool: DataFrame, entity: str, target: str) -> DataFrame:
+    """pairs with the structs ``s1`` and ``cand``: null where a record is missing. Both sides are (id, record)."""
+    a, b = entities.toDF(entity, "s1"), pool.toDF(target, "cand")
+    return pairs.join(a, entity, "left").join(b, target, "left")
+
+
+def missing_records(joined: DataFrame) -> DataFrame:
+    """pairs, missing_entity, missing_candidate, kept: a pair without its entity's record counts there alone."""
+    a, b = F.col("s1").isNull(), F.col("cand").isNull()
+    return joined.agg(F.count("*").alias("pairs"), F.count_if(a).alias("missing_entity"), F.count_if(~a & b).alias("missing_candidate"), F.count_if(~a & ~b).alias("kept"))
+
+
+def labelled_matrix(pairs: DataFrame, truth: DataFrame, entities: DataFrame, pool: DataFrame, entity: str, target: str, rare: DataFrame | None = None) -> DataFrame:
+    """entity, target, label and the 60 features of every candidate pair whose two records exist; ``missing_records`` tells how many have none."""
+    joined = with_records(pairs, entities, pool, entity, target).filter("s1 is not null and cand is not null")
+    labelled = joined.join(truth.select(entity, target).distinct().withColumn("label", F.lit(1)), [entity, target], "left").fillna(0, ["label"])
+    return staged_features(labelled, rare)
+
+
 RELATIVE = ("n_tset", "a_tset", "num_jac", "n_concat", "n_ratio")
 
 

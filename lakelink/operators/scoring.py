@@ -6,6 +6,8 @@ never derived from pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +25,13 @@ def set_counts(truth: DataFrame, predicted: DataFrame, entity: str, target: str)
 
 
 def per_entity(population: DataFrame, counts: DataFrame, entity: str) -> DataFrame:
-    """The population with tp, fp, fn (0 where no pair speaks of it) and f05."""
+    """The population with tp, fp, fn (0 where no pair speaks of it) and f05. An entity that is in the population twice is an error when rows are read."""
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("tp", "fp", "fn")}
-    return population.join(counts, entity, "left").withColumns(zero).withColumn("f05", f_half(F.col("tp"), F.col("fp"), F.col("fn")))
+    kept = [F.first(c, ignorenulls=False).alias(c) for c in population.columns if c != entity]
+    once = population.groupBy(entity).agg(F.count("*").alias("_rows"), *kept)  # by the entity, as the join is, so nothing more is shuffled
+    said = F.concat(F.lit("an entity is in the population twice: "), F.col(entity).cast("string"))
+    checked = once.withColumn("_rows", F.when(F.col("_rows") == 1, 1).otherwise(F.raise_error(said))).filter("_rows = 1").drop("_rows")
+    return checked.join(counts, entity, "left").withColumns(zero).withColumn("f05", f_half(F.col("tp"), F.col("fp"), F.col("fn"))).select(*population.columns, "tp", "fp", "fn", "f05")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -163,3 +169,32 @@ def error_kinds(candidates: DataFrame, assigned: DataFrame, truth: DataFrame, po
         .when(F.col("_in").isNull(), "missing_candidate").otherwise("below_threshold")
     )
     return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def source_recall(truth: DataFrame, candidates: DataFrame, entity: str, target: str, source: Column) -> DataFrame:
+    """source, entities, macro_recall: for each source of targets, over the entities with a true target in it."""
+    t = truth.select(entity, target).distinct().withColumn("source", source)
+    hit = t.join(candidates.select(entity, target).distinct().withColumn("_h", F.lit(1)), [entity, target], "left")
+    per = hit.groupBy("source", entity).agg((F.count("_h") / F.count("*")).alias("_r"))
+    return per.groupBy("source").agg(F.count("*").alias("entities"), F.avg("_r").alias("macro_recall"))
+
+
+def entity_recall(population: DataFrame, truth: DataFrame, candidates: DataFrame, entity: str, target: str) -> DataFrame:
+    """entity, n_true, n_found, n_candidates, recall (null without truth) for every entity of the population."""
+    rows = per_entity(population.select(entity), set_counts(truth, candidates, entity, target), entity)
+    n = F.col("tp") + F.col("fn")
+    return rows.select(entity, n.alias("n_true"), F.col("tp").alias("n_found"), (F.col("tp") + F.col("fp")).alias("n_candidates"), _share(F.col("tp"), n).alias("recall"))
+
+
+def checked_report(report: DataFrame, again: DataFrame, on: list[str], figures: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """The report, if figures computed in another way agree: each within the tolerance, or null in both. Any other row is an error when it is read."""
+    other = again.select(*(F.col(c).alias(f"_{c}") for c in (*on, *figures)), F.lit(True).alias("_there"))
+    joined = report.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], "left") if on else report.crossJoin(F.broadcast(other))  # one row each
+    same = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c) - F.col(f"_{c}")) <= tolerance, F.col(c).isNull() & F.col(f"_{c}").isNull()) for c in figures], F.col("_there").isNotNull())
+    checked = F.when(same, F.col(figures[0])).otherwise(F.raise_error(F.lit("a report differs from its check")))
+    return joined.withColumn(figures[0], checked).select(*report.columns)
+
+
+def used_entities(pairs: DataFrame, entity: str) -> DataFrame:
+    """entities: how many different ones the pairs have."""
+    return pairs.agg(F.countDistinct(entity).alias("entities"))

@@ -40,3 +40,27 @@ def role(mode: tuple[str, str | None, str | None], segment: Column, grouped_role
 
 def fold(entity: Column, folds: int) -> Column:
     return F.pmod(F.conv(F.substring(entity_hash(entity, 0), 1, 8), 16, 10).cast("long"), F.lit(folds))
+
+
+def group_codes(entities: DataFrame, entity: str, name: str = "code") -> DataFrame:
+    """entity, code: the distinct entities numbered from 0 without gaps, in the order of their hashes.
+
+    Sizes of 4096 ranges of the hash give each range its first number, so no task numbers them all.
+    """
+    each = entities.select(entity).distinct().withColumn("_h", entity_hash(F.col(entity), 0)).withColumn("_range", F.substring("_h", 1, 3))
+    sizes = each.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.broadcast(sizes.select("_range", before.alias("_first")))  # 4096 rows at most
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_h", entity)) - 1
+    return each.withColumn("_at", place).join(first, "_range").select(entity, (F.col("_first") + F.col("_at")).alias(name))
+
+
+def evaluation_pools(pairs: DataFrame, held: DataFrame, pool: str, entity: str, rank: str, within: int = 3) -> DataFrame:
+    """pool, held: every pool record of the pairs, and whether a held-out entity is among its first candidates; such a record must not train."""
+    marked = pairs.join(held.select(entity).distinct().withColumn("_held", F.lit(True)), entity, "left")
+    return marked.groupBy(pool).agg(F.coalesce(F.max(F.col("_held") & (F.col(rank) < within)), F.lit(False)).alias("held"))
+
+
+def shown(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows to look at, drawn by a hash of the key: the same ones whatever the order of rows."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids as I
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import audit, blocking, features, learning, scoring, splits
+from ..operators import audit, blocking, features, learning, prediction, scoring, splits
 from ..sources import sinks
 from .bindings import CANDIDATES_SQL, RECORDS_SQL, SETS_SQL, TEXTS_SQL, Candidates, Sets, records, table, texts
 
@@ -126,10 +126,10 @@ report AS (SELECT *, tp + fn AS n, tp + fp AS c, CASE WHEN tp + fn > 0 THEN tp /
 
 @query(f"""{_REPORT} SELECT segment, CAST(GROUPING(segment) AS BIGINT) AS is_total, COUNT(*) AS entities, ROUND(AVG(recall), 6) AS macro_recall, ROUND(CAST(SUM(tp) AS DOUBLE) / NULLIF(SUM(n), 0), 6) AS micro_recall,
 ROUND(AVG(oracle), 6) AS oracle_f05, ROUND(AVG(c), 6) AS mean_candidates, COUNT(*) FILTER (n > 0 AND tp = n) AS fully_recalled, COUNT(*) FILTER (n > 0 AND tp = 0) AS zero_recalled,
-ROUND(1 - CAST(SUM(c) AS DOUBLE) / (COUNT(*) * 20000), 6) AS reduction_ratio FROM report GROUP BY GROUPING SETS ((segment), ())""")
+ROUND(1 - CAST(SUM(c) AS DOUBLE) / (COUNT(*) * (SELECT COUNT(*) FROM part)), 6) AS reduction_ratio FROM report GROUP BY GROUPING SETS ((segment), ())""")
 def retrieval_report(spark, d):
     s = Sets(spark, d)
-    return _round(scoring.retrieval_report(s.population, s.truth, s.predicted, "entity", "target", "segment", 20000))
+    return _round(scoring.retrieval_report(s.population, s.truth, s.predicted, "entity", "target", "segment", table(spark, d, "part").count()))
 
 
 @query(f"""WITH {CANDIDATES_SQL}, sizes AS (SELECT pool, COUNT(*) AS n FROM truth GROUP BY pool), hits AS (SELECT r.pool, r.route, COUNT(*) AS h FROM (SELECT DISTINCT pool, entity, route FROM routed) r JOIN truth USING (pool, entity) GROUP BY ALL)
@@ -160,6 +160,65 @@ def error_breakdown(spark, d):
     return scoring.error_kinds(c.pairs, _assigned(c), c.truth, "pool", "entity")
 
 
+@query(f"""WITH {SETS_SQL}, t AS (SELECT entity, CASE WHEN target % 2 = 0 THEN 'even' ELSE 'odd' END AS source, COUNT(*) AS n, COUNT(p.target) AS h FROM truth LEFT JOIN predicted p USING (entity, target) GROUP BY ALL)
+SELECT source, COUNT(*) AS entities, ROUND(AVG(h / n), 6) AS macro_recall FROM t GROUP BY source""")
+def source_recall(spark, d):
+    s = Sets(spark, d)
+    return _round(scoring.source_recall(s.truth, s.predicted, "entity", "target", F.when(F.col("target") % 2 == 0, "even").otherwise("odd")))
+
+
+@query(f"WITH {SETS_SQL} SELECT entity, tp + fn AS n_true, tp AS n_found, tp + fp AS n_candidates, ROUND(tp / NULLIF(tp + fn, 0), 6) AS recall FROM counts")
+def entity_recall(spark, d):
+    s = Sets(spark, d)
+    return _round(scoring.entity_recall(s.population, s.truth, s.predicted, "entity", "target"))
+
+
+@query(f"WITH {SETS_SQL}, r AS (SELECT tp / (tp + fn) AS x FROM counts WHERE tp + fn > 0) SELECT COUNT(x) AS n, MIN(x) AS least, MAX(x) AS greatest, ROUND(AVG(x), 6) AS mean, " + ", ".join(f"ROUND(quantile_cont(x, {q}), 6) AS p{round(q * 100):02d}" for q in audit.QUANTILES) + " FROM r")
+def recall_distribution(spark, d):
+    s = Sets(spark, d)
+    return _round(audit.distribution(scoring.entity_recall(s.population, s.truth, s.predicted, "entity", "target"), F.col("recall")))
+
+
+@query(f"{_REPORT} SELECT segment, CAST(GROUPING(segment) AS BIGINT) AS is_total, ROUND(AVG(recall), 6) AS macro_recall FROM report GROUP BY GROUPING SETS ((segment), ())")
+def checked_recall(spark, d):
+    """The report's macro recall, held against the mean of the recalls of single entities."""
+    s = Sets(spark, d)
+    report = scoring.retrieval_report(s.population, s.truth, s.predicted, "entity", "target", "segment", 1).select("segment", "is_total", "macro_recall")
+    single = scoring.entity_recall(s.population, s.truth, s.predicted, "entity", "target").join(s.population, "entity").groupingSets([[F.col("segment")], []], F.col("segment")).agg(F.grouping("segment").cast("long").alias("is_total"), F.avg("recall").alias("macro_recall"))
+    return _round(scoring.checked_report(report, single, ["segment", "is_total"], ["macro_recall"]))
+
+
+@query(f"WITH {CANDIDATES_SQL}, {_ASSIGNED} SELECT COUNT(DISTINCT entity) AS entities FROM assigned")
+def used_entities(spark, d):
+    return scoring.used_entities(_assigned(Candidates(spark, d)), "entity")
+
+
+_BY_SCORE = "best AS (SELECT entity, CAST(target AS VARCHAR) AS t, MAX(score) AS s FROM lines GROUP BY ALL)"
+
+
+@query(f"""WITH {SETS_SQL}, {_BY_SCORE}
+SELECT o.entity, COALESCE(string_agg(t, ',' ORDER BY t) FILTER (s >= 0.05), '') AS matched_ids, COALESCE(string_agg(t, ',' ORDER BY t), '') AS candidate_ids FROM population o LEFT JOIN best USING (entity) GROUP BY o.entity""")
+def prediction_lists(spark, d):
+    """Matches by the candidates' own scores, without a model."""
+    s = Sets(spark, d)
+    return prediction.lists(s.population, s.lines, "entity", "target", "score", 0.05)
+
+
+@query(f"""WITH {CANDIDATES_SQL} SELECT COUNT(*) AS pairs, COUNT(*) FILTER (s_suppkey IS NULL) AS missing_entity, COUNT(*) FILTER (s_suppkey IS NOT NULL AND o_orderkey IS NULL) AS missing_candidate, COUNT(*) FILTER (s_suppkey IS NOT NULL AND o_orderkey IS NOT NULL) AS kept
+FROM pairs LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) ON s_suppkey = entity LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = pool""")
+def candidate_misses(spark, d):
+    """Candidates whose records are not there: suppliers in debt and pending orders have none."""
+    a = table(spark, d, "supplier").filter("s_acctbal > 0").select("s_suppkey", F.struct("s_name").alias("r"))
+    b = table(spark, d, "orders").filter("o_orderstatus <> 'P'").select("o_orderkey", F.struct("o_orderstatus").alias("r"))
+    return features.missing_records(features.with_records(Candidates(spark, d).pairs, a, b, "entity", "pool"))
+
+
+@query(f"""WITH {CANDIDATES_SQL} SELECT pool, BOOL_OR(entity % 10 = 0 AND rank < 3) AS held FROM pairs GROUP BY pool""")
+def evaluation_pools(spark, d):
+    held = table(spark, d, "supplier").filter("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("entity"))
+    return splits.evaluation_pools(Candidates(spark, d).pairs, held, "pool", "entity", "rank")
+
+
 # Audits
 
 
@@ -266,6 +325,11 @@ def stratified_split(spark, d):
     return _split(spark, d)
 
 
+@query("""SELECT c_custkey AS id, ROW_NUMBER() OVER (ORDER BY sha256('[0,"' || c_custkey || '"]'), c_custkey) - 1 AS code FROM customer""")
+def group_codes(spark, d):
+    return splits.group_codes(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id")
+
+
 @query("""WITH s AS (SELECT DISTINCT c_mktsegment AS x FROM customer) SELECT 'grouped' AS mode, NULL AS train_segment, NULL AS test_segment UNION ALL
 SELECT 'transfer_' || lpad(CAST(ROW_NUMBER() OVER (ORDER BY a.x, b.x) AS VARCHAR), 2, '0'), a.x, b.x FROM s a, s b WHERE a.x <> b.x""")
 def transfer_modes(spark, d):
@@ -305,9 +369,25 @@ def subset_violations(spark, d):
     return sinks.outside(s.predicted, s.truth, ["entity", "target"])
 
 
+@query("""SELECT o_orderkey AS key, COALESCE(l_returnflag, o_orderstatus) AS state FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, (l_shipdate, l_linenumber, l_partkey, l_returnflag)) AS l_returnflag FROM lineitem WHERE l_discount >= 0.08 GROUP BY 1) ON l_orderkey = o_orderkey""")
+def upserted(spark, d):
+    """The state of each order, replaced by that of its last line with a large discount."""
+    base = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("state"), F.lit(None).cast("struct<d:timestamp_ntz,l:int,p:bigint,f:string>").alias("at"))
+    at = F.struct(F.col("l_shipdate").cast("timestamp_ntz").alias("d"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("f"))
+    changes = table(spark, d, "lineitem").filter("l_discount >= 0.08").select(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("state"), at.alias("at"))
+    return sinks.upsert(base, changes, ["key"], "at").select("key", "state")
+
+
 # Terms and blocking
 
 
+@query("""WITH w AS (SELECT p_partkey AS id, list_filter(string_split(p_name, ' '), lambda x: x <> '') AS w FROM part)
+SELECT term, COUNT(*) AS n FROM (SELECT unnest(list_concat(list_transform(w, lambda x: 'n:' || x), list_transform(range(1, len(w)), lambda i: 'm:' || w[i] || '_' || w[i + 1]))) AS term FROM w) GROUP BY term""")
+def bigram_terms(spark, d):
+    tokens = F.transform(F.filter(F.split("p_name", " "), lambda w: w != ""), lambda w: F.concat(F.lit("n:"), w))
+    return table(spark, d, "part").select(F.explode(T.name_bigrams(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {TEXTS_SQL} SELECT term, COUNT(*) AS df FROM tokens GROUP BY term")
 def token_df(spark, d):
     return blocking.document_frequency(blocking.postings(texts(spark, d), ["id"], T.words(F.col("name"))))
@@ -325,15 +405,15 @@ def rare_vocab(spark, d):
     return blocking.rare_terms(blocking.postings(every, ["id"], T.words(F.col("name"))), every, 0.01)
 
 
-_TFIDF = f"""WITH {TEXTS_SQL}, n AS (SELECT country, COUNT(DISTINCT id) AS n FROM tokens GROUP BY country), df AS (SELECT country, term, COUNT(*) AS df FROM tokens GROUP BY ALL HAVING COUNT(*) <= 100),
+_TFIDF = f"""WITH {TEXTS_SQL}, n AS (SELECT country, COUNT(DISTINCT id) AS n FROM tokens GROUP BY country), df AS (SELECT country, term, COUNT(*) AS df FROM tokens GROUP BY ALL HAVING COUNT(*) <= 3000),
 w AS (SELECT t.id, t.src, t.country, t.term, ln((n + 1) / (df + 1)) + 1 AS w FROM tokens t JOIN df USING (country, term) JOIN n USING (country)),
 v AS (SELECT id, src, country, term, w / sqrt(SUM(w * w) OVER (PARTITION BY id)) AS w FROM w),
 sim AS (SELECT q.id AS pool, t.id AS entity, ROUND(SUM(q.w * t.w), 9) AS score FROM v q JOIN v t ON q.country = t.country AND q.term = t.term AND q.src <> 1 AND t.src = 1 GROUP BY ALL),
 top AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pool ORDER BY score DESC, entity) - 1 AS rank FROM sim WHERE score > 0.01)"""
 
 
-def _top(every, max_df=100):
-    """Each pool record's ten most similar reference records of its country, by terms of at most ``max_df`` records; the SQL of the queries that have it says 100, the reference 3000."""
+def _top(every, max_df=3000):
+    """Each pool record's ten most similar reference records of its country, by terms of at most ``max_df`` of the country's records."""
     keyed = every.select("country", F.struct("src", "id").alias("rec"), "name")
     v = blocking.tfidf(blocking.postings(keyed, ["country", "rec"], T.words(F.col("name"))), "country", "rec", max_df).select("country", "term", "w", "rec.src", "rec.id")
     q, t = v.filter("src <> 1").withColumnRenamed("id", "pool"), v.filter("src = 1").withColumnRenamed("id", "entity")
@@ -379,15 +459,17 @@ def token_jaccard_pairs(spark, d):
     return _round(_part_pairs(spark, d).withColumn("jaccard", S.jaccard(T.words(F.col("a")), T.words(F.col("b")))))
 
 
-@query(f"""{_TFIDF}, p AS (SELECT pool, entity FROM top WHERE rank < 3), alldf AS (SELECT term, COUNT(*) AS df FROM tokens GROUP BY term),
-q AS (SELECT id, term, pow(ln((1000 + 1) / (df + 1)) + 1, 2) AS w FROM tokens JOIN alldf USING (term)), nn AS (SELECT id, sqrt(SUM(w)) AS n FROM q GROUP BY id)
+@query(f"""{_TFIDF}, p AS (SELECT pool, entity FROM top WHERE rank < 10), alldf AS (SELECT term, COUNT(*) AS df FROM tokens GROUP BY term),
+q AS (SELECT id, term, pow(ln(((SELECT COUNT(*) FROM records) + 1) / (df + 1)) + 1, 2) AS w FROM tokens JOIN alldf USING (term)), nn AS (SELECT id, sqrt(SUM(w)) AS n FROM q GROUP BY id)
 SELECT pool, entity, ROUND(SUM(a.w) / GREATEST(MAX(x.n * y.n), 1e-6), 6) AS n_wcos FROM p JOIN q a ON a.id = pool JOIN q b ON b.id = entity AND a.term = b.term JOIN nn x ON x.id = pool JOIN nn y ON y.id = entity GROUP BY pool, entity""")
 def weighted_cosine_pairs(spark, d):
-    pairs = _top(texts(spark, d)).filter("rank < 3").select("pool", "entity")
-    post = blocking.postings(texts(spark, d), ["id"], T.words(F.col("name")))
-    return _round(features.weighted_cosine(pairs, post, blocking.document_frequency(post), 1000, "pool", "entity", "id", "n_wcos"))
+    every = texts(spark, d)
+    pairs = _top(every).select("pool", "entity")
+    post = blocking.postings(every, ["id"], T.words(F.col("name")))
+    return _round(features.weighted_cosine(pairs, post, blocking.document_frequency(post), every.count(), "pool", "entity", "id", "n_wcos"))
 
 
+LIMITS = blocking.Limits()
 _GRAMS = f"""WITH {RECORDS_SQL}, grams AS (SELECT DISTINCT id, src, term FROM (SELECT id, src, unnest(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3))) AS term FROM records WHERE length(name) >= 3)),
 pool AS (SELECT id AS record, term FROM grams WHERE src <> 1), df AS (SELECT term, COUNT(*) AS df FROM pool GROUP BY term),
 anchor AS (SELECT query, term, df, place FROM (SELECT id AS query, term, df, ROW_NUMBER() OVER (PARTITION BY id ORDER BY df, term) AS place FROM grams JOIN df USING (term) WHERE src = 1) WHERE place <= 8)"""
@@ -405,19 +487,19 @@ def anchor_terms(spark, d):
     return _round(_grams(spark, d)[2])
 
 
-_SHORT = f"""{_GRAMS}, capped AS (SELECT term, record FROM (SELECT term, record, ROW_NUMBER() OVER (PARTITION BY term ORDER BY record) AS p FROM pool) WHERE p <= 50),
-conj AS (SELECT query, record FROM (SELECT a.query, x.record, ROW_NUMBER() OVER (PARTITION BY a.query, a.place ORDER BY x.record) AS p FROM anchor a JOIN anchor b ON a.query = b.query AND b.place = a.place + 1 AND a.place IN (1, 3, 5) JOIN pool x ON x.term = a.term JOIN pool y ON y.term = b.term AND y.record = x.record) WHERE p <= 50),
+_SHORT = f"""{_GRAMS}, capped AS (SELECT term, record FROM (SELECT term, record, ROW_NUMBER() OVER (PARTITION BY term ORDER BY record) AS p FROM pool) WHERE p <= 96),
+conj AS (SELECT query, record FROM (SELECT a.query, x.record, ROW_NUMBER() OVER (PARTITION BY a.query, a.place ORDER BY x.record) AS p FROM anchor a JOIN anchor b ON a.query = b.query AND b.place = a.place + 1 AND a.place IN (1, 3, 5) JOIN pool x ON x.term = a.term JOIN pool y ON y.term = b.term AND y.record = x.record) WHERE p <= 96),
 hits AS (SELECT query, record, COUNT(*) AS hits FROM (SELECT query, record FROM anchor JOIN capped USING (term) UNION ALL SELECT query, record FROM conj) GROUP BY ALL),
-short AS (SELECT query, record, hits FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY hits DESC, record) AS p FROM hits) WHERE p <= 20)"""
+short AS (SELECT query, record, hits FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY hits DESC, record) AS p FROM hits) WHERE p <= 96)"""
 
 
 @query(f"{_SHORT} SELECT query, record, hits FROM short")
 def posting_shortlist(spark, d):
     q, p, a = _grams(spark, d)
-    return blocking.shortlist(a, p, "query", "record", 50, 20)
+    return blocking.shortlist(a, p, "query", "record", LIMITS.postings, LIMITS.shortlist)
 
 
-_WORDS = f"""WITH {RECORDS_SQL}, pool AS (SELECT id AS record, term FROM tokens WHERE src <> 1), df AS (SELECT term, COUNT(*) AS df FROM pool WHERE length(term) >= 2 GROUP BY term HAVING COUNT(*) <= 20),
+_WORDS = f"""WITH {RECORDS_SQL}, pool AS (SELECT id AS record, term FROM tokens WHERE src <> 1), df AS (SELECT term, COUNT(*) AS df FROM pool WHERE length(term) >= 2 GROUP BY term HAVING COUNT(*) <= 100),
 rare AS (SELECT DISTINCT query, record FROM (SELECT query, term FROM (SELECT id AS query, term, ROW_NUMBER() OVER (PARTITION BY id ORDER BY df, term) AS p FROM tokens JOIN df USING (term) WHERE src = 1) WHERE p <= 8) JOIN pool USING (term))"""
 
 
@@ -429,11 +511,11 @@ def _words(spark, d, column="name"):
 
 @query(f"{_WORDS} SELECT query, record FROM rare")
 def rare_route(spark, d):
-    return blocking.rare_route(*_words(spark, d), "query", "record", 20, 8)
+    return blocking.rare_route(*_words(spark, d), "query", "record", LIMITS.rare_max_df, LIMITS.anchors)
 
 
 _PARTS = f"""WITH {TEXTS_SQL}, parts AS (SELECT DISTINCT id, src, unnest(regexp_extract_all(name, '[0-9]{{5,}}')) AS term FROM records),
-comp AS (SELECT DISTINCT query, record FROM (SELECT a.id AS query, b.id AS record, ROW_NUMBER() OVER (PARTITION BY a.id, a.term ORDER BY b.id) AS p FROM parts a JOIN parts b USING (term) WHERE a.src = 1 AND b.src <> 1) WHERE p <= 50)"""
+comp AS (SELECT DISTINCT query, record FROM (SELECT a.id AS query, b.id AS record, ROW_NUMBER() OVER (PARTITION BY a.id, a.term ORDER BY b.id) AS p FROM parts a JOIN parts b USING (term) WHERE a.src = 1 AND b.src <> 1) WHERE p <= 96)"""
 
 
 def _parts(spark, d):
@@ -443,33 +525,73 @@ def _parts(spark, d):
 
 @query(f"{_PARTS} SELECT query, record FROM comp")
 def component_route(spark, d):
-    return blocking.component_route(*_parts(spark, d), "query", "record", 50)
-
-
-@query(f"""{_SHORT}, words_pool AS (SELECT id AS record, term FROM tokens WHERE src <> 1), wdf AS (SELECT term, COUNT(*) AS df FROM words_pool WHERE length(term) >= 2 GROUP BY term HAVING COUNT(*) <= 20),
-rare AS (SELECT DISTINCT query, record FROM (SELECT query, term FROM (SELECT id AS query, term, ROW_NUMBER() OVER (PARTITION BY id ORDER BY df, term) AS p FROM tokens JOIN wdf USING (term) WHERE src = 1) WHERE p <= 8) JOIN words_pool USING (term)),
-routed AS (SELECT query, record, 'name' AS route, hits / 11.0 AS score FROM short UNION ALL SELECT query, record, 'rare', 0.0 FROM rare),
-top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query, route ORDER BY score DESC, record) AS rank FROM routed) WHERE rank <= 5)
-SELECT query, record, string_agg(route, ',' ORDER BY route) AS routes, ROUND(MAX(score), 6) AS best_score, MIN(rank) AS best_rank FROM top GROUP BY query, record""")
+    return blocking.component_route(*_parts(spark, d), "query", "record", LIMITS.shortlist)
+
+
+def _five_routes() -> str:
+    """All five routes of ``blocking.retrieve`` over the pages, as SQL: ``top`` has query, record, route, score, rank."""
+    parts = [f"""WITH {RECORDS_SQL},
+numbered AS (SELECT *, list_distinct(list_filter(string_split(addr, ' '), lambda x: regexp_full_match(x, '[0-9]{{1,4}}'))) AS houses, list_distinct(list_filter(string_split(addr, ' '), lambda x: regexp_full_match(x, '[0-9]{{5,}}'))) AS postals FROM records),
+house AS (SELECT id, src, unnest(houses) AS term FROM numbered), postal AS (SELECT id, src, unnest(postals) AS term FROM numbered),
+train AS (SELECT COUNT(*) AS n FROM records WHERE src = 1)"""]
+    for f in blocking.FIELDS:
+        parts.append(f"""tf_{f} AS (SELECT id, src, term, COUNT(*) AS tf FROM (SELECT id, src, unnest(list_transform(range(1, length({f}) - 1), lambda i: substring({f}, i, 3))) AS term FROM records WHERE length({f}) >= 3) GROUP BY ALL),
+pool_{f} AS (SELECT id AS record, term FROM tf_{f} WHERE src <> 1), df_{f} AS (SELECT term, COUNT(*) AS df FROM pool_{f} GROUP BY term),
+anchor_{f} AS (SELECT * FROM (SELECT id AS query, term, ROW_NUMBER() OVER (PARTITION BY id ORDER BY df, term) AS place FROM tf_{f} JOIN df_{f} USING (term) WHERE src = 1) WHERE place <= 8),
+capped_{f} AS (SELECT term, record FROM (SELECT term, record, ROW_NUMBER() OVER (PARTITION BY term ORDER BY record) AS p FROM pool_{f}) WHERE p <= 96),
+conj_{f} AS (SELECT query, record FROM (SELECT a.query, x.record, ROW_NUMBER() OVER (PARTITION BY a.query, a.place ORDER BY x.record) AS p FROM anchor_{f} a JOIN anchor_{f} b ON a.query = b.query AND b.place = a.place + 1 AND a.place IN (1, 3, 5)
+  JOIN pool_{f} x ON x.term = a.term JOIN pool_{f} y ON y.term = b.term AND y.record = x.record) WHERE p <= 96),
+short_{f} AS (SELECT query, record FROM (SELECT query, record, ROW_NUMBER() OVER (PARTITION BY query ORDER BY COUNT(*) DESC, record) AS p FROM (SELECT query, record FROM anchor_{f} JOIN capped_{f} USING (term) UNION ALL SELECT * FROM conj_{f}) GROUP BY query, record) WHERE p <= 96),
+word_{f} AS (SELECT DISTINCT id, src, term FROM (SELECT id, src, unnest(string_split({f}, ' ')) AS term FROM records) WHERE term <> ''),
+wdf_{f} AS (SELECT term, COUNT(*) AS df FROM word_{f} WHERE src <> 1 GROUP BY term),
+rare_{f} AS (SELECT DISTINCT query, w.id AS record FROM (SELECT id AS query, term, ROW_NUMBER() OVER (PARTITION BY id ORDER BY df, term) AS p FROM word_{f} JOIN wdf_{f} USING (term) WHERE src = 1 AND length(term) >= 2 AND df <= 100) q JOIN word_{f} w ON w.term = q.term AND w.src <> 1 WHERE p <= 8),
+gated_{f} AS (SELECT DISTINCT q.query, w.id AS record FROM (SELECT id AS query, term, ROW_NUMBER() OVER (PARTITION BY id ORDER BY df, term) AS p FROM word_{f} JOIN wdf_{f} USING (term) WHERE src = 1 AND df <= 5000) q JOIN word_{f} w ON w.term = q.term AND w.src <> 1
+  JOIN house a ON a.id = q.query JOIN house b ON b.id = w.id AND a.term = b.term WHERE p <= 2)""")
+    parts.append("""tf_both AS (SELECT id, src, term, SUM(tf) AS tf FROM (SELECT * FROM tf_name UNION ALL SELECT * FROM tf_addr) GROUP BY ALL),
+crossed AS (SELECT query, record FROM (SELECT a.query, x.record, ROW_NUMBER() OVER (PARTITION BY a.query, a.place ORDER BY x.record) AS p FROM anchor_name a JOIN anchor_addr b ON a.query = b.query AND a.place = b.place AND a.place <= 3
+  JOIN pool_name x ON x.term = a.term JOIN pool_addr y ON y.term = b.term AND y.record = x.record) WHERE p <= 96),
+equal AS (SELECT query, record FROM (SELECT a.id AS query, b.id AS record, ROW_NUMBER() OVER (PARTITION BY a.id, a.term ORDER BY b.id) AS p FROM postal a JOIN postal b USING (term) WHERE a.src = 1 AND b.src <> 1) WHERE p <= 96),
+hits AS (SELECT 'name' AS route, 96 AS most, * FROM short_name UNION SELECT 'address', 96, * FROM short_addr UNION SELECT 'combined', 288, * FROM (SELECT * FROM short_name UNION SELECT * FROM short_addr UNION SELECT * FROM crossed)
+  UNION SELECT 'rare', 96, * FROM (SELECT * FROM rare_name UNION SELECT * FROM rare_addr) UNION SELECT 'components', 96, * FROM (SELECT * FROM equal UNION SELECT * FROM gated_name UNION SELECT * FROM gated_addr)),
+cut AS (SELECT route, query, record, CASE route WHEN 'name' THEN 'name' WHEN 'address' THEN 'addr' ELSE 'both' END AS kind FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY route, query ORDER BY record) AS p FROM hits) WHERE p <= most)""")
+    for f in (*blocking.FIELDS, "both"):
+        parts.append(f"""idf_{f} AS (SELECT term, ln((n + 1) / (COUNT(*) + 1)) + 1 AS idf FROM tf_{f}, train WHERE src = 1 GROUP BY term, n),
+w_{f} AS (SELECT id, term, tf * COALESCE(idf, ln(n + 1) + 1) AS w FROM tf_{f} CROSS JOIN train LEFT JOIN idf_{f} USING (term)), v_{f} AS (SELECT '{f}' AS kind, id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY id)) AS w FROM w_{f})""")
+    parts.append("""v AS (SELECT * FROM v_name UNION ALL SELECT * FROM v_addr UNION ALL SELECT * FROM v_both),
+dot AS (SELECT kind, query, record, SUM(a.w * b.w) AS d FROM (SELECT DISTINCT kind, query, record FROM cut) c JOIN v a USING (kind) JOIN v b USING (kind) WHERE a.id = query AND b.id = record AND a.term = b.term GROUP BY ALL),
+scored AS (SELECT c.*, ROUND(LEAST(1, GREATEST(0, COALESCE(d, 0))), 9) AS score FROM cut c LEFT JOIN dot USING (kind, query, record)),
+top AS (SELECT query, record, route, score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query, route ORDER BY score DESC, record) AS rank FROM scored WHERE score > 0 OR route IN ('rare', 'components')) WHERE rank <= 20)""")
+    return ",\n".join(parts)
+
+
+_FIVE = _five_routes()
+
+
+def _retrieved(spark, d):
+    """Candidates of all five routes for the reference pages; numbers of up to four digits in a page's address are its house numbers, longer ones its postcodes."""
+    digits = lambda least, most: F.array_distinct(F.filter(F.split("addr", " "), lambda x: x.rlike(f"^[0-9]{{{least},{most}}}$")))
+    every = records(spark, d).withColumns({"houses": digits(1, 4), "postals": digits(5, "")})
+    reference = every.filter("src = 1")
+    return blocking.retrieve(reference, every.filter("src <> 1"), reference)
+
+
+@query(f"{_FIVE} SELECT query, record, string_agg(route, ',' ORDER BY route) AS routes, ROUND(MAX(score), 6) AS best_score, MIN(rank) AS best_rank FROM top GROUP BY query, record")
 def route_union(spark, d):
-    q, p, a = _grams(spark, d)
-    short = blocking.shortlist(a, p, "query", "record", 50, 20).select("query", "record", F.lit("name").alias("route"), (F.col("hits") / 11.0).alias("score"))
-    rare = blocking.rare_route(*_words(spark, d), "query", "record", 20, 8).select("query", "record", F.lit("rare").alias("route"), F.lit(0.0).alias("score"))
-    merged = blocking.route_union(short.unionByName(rare), "query", "record", "route", "score", 5)
-    return _round(merged.select("query", "record", "routes", "best_score", F.array_min(F.transform(F.map_values("metadata"), lambda v: v["rank"])).alias("best_rank")))
+    best = F.array_min(F.transform(F.map_values("metadata"), lambda v: v["rank"])).alias("best_rank")
+    return _round(_retrieved(spark, d).select("query", "record", "routes", "best_score", best))
 
 
 @query(f"""{_GRAMS}, tf AS (SELECT id, src, term, COUNT(*) AS tf FROM (SELECT id, src, unnest(list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3))) AS term FROM records WHERE length(name) >= 3) GROUP BY ALL),
 n AS (SELECT COUNT(*) AS n FROM records WHERE src = 1), idf AS (SELECT term, ln((n + 1) / (COUNT(*) + 1)) + 1 AS idf FROM grams, n WHERE src = 1 GROUP BY term, n),
-w AS (SELECT id, src, term, tf * COALESCE(idf, 7.0) AS w FROM tf LEFT JOIN idf USING (term)), v AS (SELECT id, src, term, w / sqrt(SUM(w * w) OVER (PARTITION BY id)) AS w FROM w),
-cand AS (SELECT DISTINCT query, record FROM anchor JOIN pool USING (term) WHERE place = 1)
+w AS (SELECT id, src, term, tf * COALESCE(idf, ln(n + 1) + 1) AS w FROM tf CROSS JOIN n LEFT JOIN idf USING (term)), v AS (SELECT id, src, term, w / sqrt(SUM(w * w) OVER (PARTITION BY id)) AS w FROM w),
+cand AS (SELECT DISTINCT query, record FROM anchor JOIN pool USING (term))
 SELECT query, record, ROUND(ROUND(LEAST(1, GREATEST(0, SUM(a.w * b.w))), 9), 6) AS score FROM cand JOIN v a ON a.id = query JOIN v b ON b.id = record AND a.term = b.term GROUP BY query, record""")
 def gram_cosine_rerank(spark, d):
     q, p, a = _grams(spark, d)
     train = records(spark, d).filter("src = 1")
     idf = blocking.idf_table(q.withColumnRenamed("query", "id").select("id", "term"), train)
-    pairs = a.filter("place = 1").select("query", "term").join(p.select("record", "term"), "term").select("query", "record").distinct()
-    return _round(blocking.gram_cosine(pairs, q, p, "query", "record", idf, 7.0))
+    pairs = a.select("query", "term").join(p.select("record", "term"), "term").select("query", "record").distinct()
+    return _round(blocking.gram_cosine(pairs, q, p, "query", "record", idf, train))
 
 
 # Features
@@ -527,13 +649,15 @@ def numeric_evidence(spark, d):
 
 
 def _pair_frame(spark, d):
-    """Candidate pairs of the similarity join with both normalised records; a pair is true if the pages have the same source."""
-    pairs = _top(records(spark, d), 3000)
+    """Candidate pairs of the similarity join with both normalised records; ranks and scores by route are those of the five-route retrieval, where it has the pair."""
+    pairs = _top(records(spark, d)).select("pool", "entity", "score")
+    found = _retrieved(spark, d).select(F.col("query").alias("entity"), F.col("record").alias("pool"), F.col("best_score").alias("_best"), "metadata")
     view = records(spark, d).select("id", F.col("src").alias("source"), T.normalized_record("name", "addr").alias("r"))
     a = view.select(F.col("id").alias("entity"), F.col("r").alias("s1"))
     b = view.select(F.col("id").alias("pool"), F.col("r").alias("cand"), "source")
-    meta = F.create_map(F.lit("name"), F.struct((F.col("rank") + 1).alias("rank"), F.col("score").alias("score")))
-    return pairs.join(a, "entity").join(b, "pool").select("pool", "entity", "s1", "cand", F.col("score").alias("best_score"), meta.alias("metadata"), "source")
+    none = F.create_map().cast(dict(found.dtypes)["metadata"])
+    joined = pairs.join(found, ["pool", "entity"], "left").join(a, "entity").join(b, "pool")
+    return joined.select("pool", "entity", "s1", "cand", F.coalesce("_best", "score").alias("best_score"), F.coalesce("metadata", none).alias("metadata"), "source")
 
 
 @query()
@@ -545,7 +669,7 @@ def staged_pair_features(spark, d):
 
 @query()
 def pool_pair_features(spark, d):
-    pairs = features.context(_top(records(spark, d), 3000), "pool", "entity").join(records(spark, d).select(F.col("id").alias("pool"), "src"), "pool")
+    pairs = features.context(_top(records(spark, d)), "pool", "entity").join(records(spark, d).select(F.col("id").alias("pool"), "src"), "pool")
     view = records(spark, d).select("id", T.pool_record("name", "addr").alias("r"))
     side = lambda key, p: view.select(F.col("id").alias(key), F.col("r.nname").alias(f"{p}_name"), F.col("r.naddr").alias(f"{p}_addr"))
     full = features.pool_features(pairs.join(side("pool", "p"), "pool").join(side("entity", "s"), "entity"), "pool", "entity")
@@ -563,7 +687,7 @@ MODEL_FEATURES = ["score", "rank", "gap_top1", "margin12", "ncand", "s1_rank0_de
 def gbt_scores(spark, d):
     c = Candidates(spark, d)
     pairs = features.context(c.pairs, "pool", "entity").join(c.truth.withColumn("label", F.lit(1.0)), ["pool", "entity"], "left").fillna(0.0, ["label"])
-    scored = learning.cross_validated(pairs.persist(), MODEL_FEATURES, "entity", folds=2, rounds=3, depth=3)
+    scored = learning.cross_validated(pairs, MODEL_FEATURES, "entity", folds=5, rounds=10, depth=4)
     return _round(scored.select("pool", "entity", "label", "fold", "p"))
 
 

@@ -28,10 +28,19 @@ def read_raw(spark: SparkSession, path: str, source: int) -> DataFrame:
 
 
 def shape(spark: SparkSession, path: str, expected: int) -> DataFrame:
-    """columns, lines, first_line: how many lines have how many columns, with the least of the malformed ones of each width."""
-    lines = spark.read.text(path).withColumn("columns", F.size(F.split("value", "\t")).cast("long"))
-    bad = F.when(F.col("columns") != expected, F.col("value"))
-    return lines.groupBy("columns").agg(F.count("*").alias("lines"), F.min(bad).alias("first_line"))
+    """columns, lines: how many lines have how many columns."""
+    return spark.read.text(path).groupBy(F.size(F.split("value", "\t")).cast("long").alias("columns")).agg(F.count("*").alias("lines"))
+
+
+def malformed(spark: SparkSession, path: str, expected: int, most: int = 5) -> DataFrame:
+    """file, offset, columns, value: the first malformed lines, as a report shows them, by file and by the line's place among the lines of its part of the file (a large file is read in parts)."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("offset"), F.size(F.split("value", "\t")).cast("long").alias("columns"), "value")
+    return lines.filter(F.col("columns") != expected).orderBy("file", "_block", "offset").limit(most).select("file", "offset", "columns", "value")
+
+
+def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Some columns of a delimited file with a header: the reader parses no others."""
+    return spark.read.csv(path, sep="\t", header=True, inferSchema=False, multiLine=True, quote='"', escape='"').select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns))
 
 
 def union_sources(frames: list[DataFrame], columns: list[str]) -> DataFrame:

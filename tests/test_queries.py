@@ -24,9 +24,3 @@ def test_rows(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1 and set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
-
-
-def test_llm_queries_same_as_sql(spark, sf, duck):
-    rest = {n: s for n, s in entry.oracle_sql().items() if n not in ORACLES}
-    for name, sql in rest.items():
-        assert difference(entry.queries()[name](spark, sf), duck, sql) == "", name
