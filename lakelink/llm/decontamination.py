@@ -17,17 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, filter_in_arrow, materialise, slices
+from .common import as_bytes, filter_in_arrow, materialise, slices
 
 WINDOW = 10
 #: Test strings whose tables are broadcast at a time: 50 MB or so.
 MOST_WINDOWS = 500_000
-#: Words of a stretch that one cursor scans.
-STRETCH = 256
+#: Words of a stretch that one cursor scans, and bytes that are split into words at a time.
+STRETCH, BLOCK = 256, 1 << 19
+ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z to lower case; ASCII other than letters and digits separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
@@ -42,8 +42,31 @@ def item_windows(text: bytes, window: int = WINDOW) -> list[bytes]:
     return [b" ".join(w[i : i + window]) for i in range(max(1, len(w) - window + 1))] if w else []
 
 
-def hashes(found: list[bytes], memo: Memo) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
+def folded(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """All texts as one, with spaces for all that separates words, and where each begins."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    return b" ".join([*texts, b""]).translate(FOLD), np.cumsum(sizes) - sizes
+
+
+def word_places(buf: bytes, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and a hash of each word: the sum of its bytes times powers of an odd number. A block of bytes, ended by a space, is worked on at a time."""
+    found, begin, powers = [], 0, np.ones(1, np.uint64)
+    while begin < len(buf):
+        end = buf.find(b" ", min(begin + block, len(buf))) + 1 or len(buf)
+        bytes_ = np.frombuffer(buf, np.uint8, end - begin, begin)
+        inside = np.flatnonzero(bytes_ != 32)
+        if len(inside):
+            at = np.flatnonzero(np.diff(inside, prepend=-2) > 1)  # each word's first byte among those inside words
+            n = np.diff(at, append=len(inside))
+            if len(powers) < n.max():
+                powers = np.cumprod(np.full(int(n.max()), ODD, np.uint64))
+            place = np.arange(len(inside)) - np.repeat(at, n)
+            starts = inside[at] + begin
+            found.append((starts, starts + n, np.add.reduceat((bytes_[inside].astype(np.uint64) + np.uint64(1)) * powers[place], at)))
+        begin = end
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def mixed(h: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -60,7 +83,7 @@ class Tables:
     def __init__(self, length: int, patterns: dict[bytes, set[str]]):
         self.length, self.block, self.tail = length, min(2, length), min(4, length)
         self.default = length - self.block + 1
-        h = hashes([w for p in patterns for w in p.split(b" ")], Memo(xxhash.xxh3_64_intdigest))
+        h = word_places(b" ".join([*patterns, b""]))[2]
         last = np.arange(len(patterns)) * length + length - 1
         keys = np.concatenate([mixed(h, last - back, self.block) for back in range(self.default)])
         jump = np.repeat(np.arange(self.default), len(patterns))
@@ -93,13 +116,14 @@ class Tables:
             at, stop = at[on], stop[on]
         return np.concatenate(found)
 
-    def find(self, text: list[bytes], h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, tuple[str, ...]]]:
-        """(place of the first word, items) of every occurrence in the texts, which are text[begin:end]."""
+    def find(self, buf: bytes, at: tuple[np.ndarray, np.ndarray, np.ndarray], begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, tuple[str, ...]]]:
+        """(the first word's number, items) of every occurrence in the texts, which are the words begin:end."""
+        starts, stops, h = at
         last = self.candidates(h, begins, ends)
         key = mixed(h, last, self.tail) if len(last) else np.zeros(0, np.uint64)
         low, high = np.searchsorted(self.tails, key, "left"), np.searchsorted(self.tails, key, "right")
         for end, a, b in zip(*(x[high > low].tolist() for x in (last, low, high))):
-            here = b" ".join(text[end - self.length + 1 : end + 1])
+            here = b" ".join(buf[starts[end - self.length + 1] : stops[end]].split())
             for k in range(a, b):
                 if self.patterns[k] == here:
                     yield end - self.length + 1, self.items[k]
@@ -126,15 +150,15 @@ def pattern_blocks(benchmark: DataFrame, window: int = WINDOW, most_windows: int
         yield build(block)
 
 
-def search(tables: list[Tables], texts: list[bytes], memo: Memo) -> list[tuple[np.ndarray, set[str]]]:
+def search(tables: list[Tables], texts: list[bytes]) -> list[tuple[np.ndarray, set[str]]]:
     """For each text, which of its words any occurrence has, and the occurring items."""
-    parts = [words(t) for t in texts]
-    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-    begins = ends - [len(p) for p in parts]
-    every = [w for p in parts for w in p]
-    h, hit, items = hashes(every, memo), np.zeros(len(every), bool), [set() for _ in texts]
+    buf, offsets = folded(texts)
+    at = word_places(buf)
+    begins = np.searchsorted(at[0], offsets)
+    ends = np.append(begins[1:], len(at[0]))
+    hit, items = np.zeros(len(at[0]), bool), [set() for _ in texts]
     for t in tables:
-        for begin, found in t.find(every, h, begins, ends):
+        for begin, found in t.find(buf, at, begins, ends):
             hit[begin : begin + t.length] = True
             items[int(np.searchsorted(ends, begin, "right"))].update(found)
     return [(hit[b:e], i) for b, e, i in zip(begins, ends, items)]
@@ -154,10 +178,9 @@ def scanned(shared):
     """(batch, its rows' hits and items), a slice at a time."""
 
     def run(batches):
-        memo = Memo(xxhash.xxh3_64_intdigest)
         for batch in batches:
-            for part in slices(batch, "text"):
-                yield part, search(shared.value, as_bytes(part, "text"), memo)
+            for part in slices(batch, "text", 4 << 20):
+                yield part, search(shared.value, as_bytes(part, "text"))
 
     return run
 

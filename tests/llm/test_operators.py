@@ -237,6 +237,18 @@ def test_decontamination(spark, most):
     assert decontamination.drop_contaminated(clash, bench, most_windows=most).columns == clash.columns and decontamination.contamination(clash, bench, most_windows=most).count() == len(texts)
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 19])
+def test_word_places(block):
+    """Words, their places and equal hashes for equal words alone, whatever the blocks."""
+    texts = [b"", b"  One,two three--THREE ", "ñé 中文 x".encode(), b"a" * 50, b"one", b"...", b"two a aa aaa"]
+    buf, offsets = decontamination.folded(texts)
+    starts, stops, h = decontamination.word_places(buf, block)
+    got = [buf[a:b] for a, b in zip(starts, stops)]
+    assert got == [w for t in texts for w in decontamination.words(t)] and len(set(zip(got, h.tolist()))) == len(set(h.tolist())) == len(set(got))
+    assert [buf[o : o + len(t)] for o, t in zip(offsets, texts)] == [t.translate(decontamination.FOLD) for t in texts]
+    assert [len(x) for x in decontamination.word_places(b"   ", block)] == [0, 0, 0] == [len(x) for x in decontamination.word_places(b"", block)]
+
+
 def test_decontamination_random(spark):
     """Few different words, so that jumps of all lengths, near misses and overlapping occurrences arise."""
     rng = np.random.default_rng(4)
@@ -244,7 +256,7 @@ def test_decontamination_random(spark):
     bench = [make(12) for _ in range(30)] + [make(n) for n in (1, 2, 3, 9, 10)][3:]
     texts = [make(n) for n in rng.integers(0, 700, 40)] + [" ".join(bench[:3]), bench[4]]
     tables = decontamination.build({w: {str(i) for i, b in enumerate(bench) if w in decontamination.item_windows(b.encode())} for b in bench for w in decontamination.item_windows(b.encode())})
-    got = decontamination.search(tables, [t.encode() for t in texts], decontamination.Memo(decontamination.xxhash.xxh3_64_intdigest))
+    got = decontamination.search(tables, [t.encode() for t in texts])
     for t, (hit, items) in zip(texts, got):
         n, n_hit, n_items, sha, _ = brute_contamination(t, list(enumerate(bench)))
         assert (len(hit), int(hit.sum()), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()) == (n, n_hit, n_items, sha)
