@@ -10,17 +10,14 @@ Conventions of every operator in this subpackage:
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import materialise, scratch, shared_dir  # noqa: F401
+
 #: Text bytes that one step of a Python worker handles at a time.
 SLICE_BYTES = 8 << 20
 
@@ -29,48 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session has no such setting and all of it runs on this machine (tests) a folder of this machine serves; a cluster without the setting is an error.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lakelink-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lakelink/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and fixes values for later passes."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    for scratch in _scratch.get(()):
-        scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Work tables written inside are removed at the end. Only for results that are written themselves, outside, or that no longer read those tables."""
-    paths: list[str] = []
-    token = _scratch.set((*_scratch.get(), paths))
-    try:
-        yield
-    finally:
-        _scratch.reset(token)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def filter_in_arrow(docs: DataFrame, run) -> DataFrame:
     """``docs.mapInArrow`` for a function that drops rows and reads ``text`` alone: all columns come back, whatever their names (Spark's own takes no dots in them)."""
     plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
