@@ -67,7 +67,7 @@ def test_repeated_keys_and_nothing(spark):
     assert blocks.similar_top_k(frame.limit(0), "g", F.col("q"), "i", F.col("t"), 10).collect() == []
 
 
-@pytest.mark.parametrize("name", ("tfidf_topk",))
+@pytest.mark.parametrize("name", ("tfidf_topk", "weighted_cosine_pairs"))
 def test_no_pair_is_shuffled(spark, sf, name):
     """The candidates of sf0.001's texts are some 200,000 products; only blocks and each query's best move."""
     assert shuffled(spark, lambda: QUERIES[name](spark, sf).collect()) < 20_000
