@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakelink.operators import blocks
+from lakelink.operators import blocking, blocks
 from lakelink.plans.queries import QUERIES
 
 
@@ -71,3 +71,12 @@ def test_repeated_keys_and_nothing(spark):
 def test_no_pair_is_shuffled(spark, sf, name):
     """The candidates of sf0.001's texts are some 200,000 products; only blocks and each query's best move."""
     assert shuffled(spark, lambda: QUERIES[name](spark, sf).collect()) < 20_000
+
+
+def test_retrieval_of_copies_moves_no_pairs(spark):
+    """Queries and records of one name: all records hold every pair of anchors, which each query would shuffle 3 x 300 times, and its candidates' grams after that."""
+    side = lambda p, first: spark.createDataFrame([(f"{p}{i:03d}", "acme trading house", f"lane {first + i}", ["7"], ["12345"]) for i in range(300)], "id string, name string, addr string, houses array<string>, postals array<string>")
+    q, pool, got = side("q", 0), side("r", 150), []
+    assert shuffled(spark, lambda: got.extend(blocking.retrieve(q, pool, q).collect())) < 150_000
+    best = {r["query"]: [x.record for x in got if x["query"] == r["query"] and "name" in x.metadata] for r in got}
+    assert set(map(len, best.values())) == {20} and sorted(best["q000"]) == [f"r{i:03d}" for i in range(20)]
