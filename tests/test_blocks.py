@@ -80,3 +80,11 @@ def test_retrieval_of_copies_moves_no_pairs(spark):
     assert shuffled(spark, lambda: got.extend(blocking.retrieve(q, pool, q).collect())) < 150_000
     best = {r["query"]: [x.record for x in got if x["query"] == r["query"] and "name" in x.metadata] for r in got}
     assert set(map(len, best.values())) == {20} and sorted(best["q000"]) == [f"r{i:03d}" for i in range(20)]
+
+
+def test_pages_of_one_host_are_scored_once(spark, tmp_path):
+    """300 pages ask for 300 of the same host: 90,000 rows, of which none is shuffled."""
+    spark.createDataFrame([(i, f"{'http' if i % 2 else 'https'}://shop.example/en/{i}") for i in range(600)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = []
+    assert shuffled(spark, lambda: got.append(QUERIES["gram_cosine_rerank"](spark, str(tmp_path)).agg(F.count("*"), F.min("score"), F.max("score")).first())) < 60_000
+    assert tuple(got[0]) == (90_000, 1.0, 1.0)
