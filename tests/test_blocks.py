@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakelink.operators import blocking, blocks
+from lakelink.functions import text
+from lakelink.operators import blocking, blocks, features
 from lakelink.plans.queries import QUERIES
 
 
@@ -67,7 +68,7 @@ def test_repeated_keys_and_nothing(spark):
     assert blocks.similar_top_k(frame.limit(0), "g", F.col("q"), "i", F.col("t"), 10).collect() == []
 
 
-@pytest.mark.parametrize("name", ("tfidf_topk", "weighted_cosine_pairs"))
+@pytest.mark.parametrize("name", ("tfidf_topk", "weighted_cosine_pairs", "numeric_overlap_features"))
 def test_no_pair_is_shuffled(spark, sf, name):
     """The candidates of sf0.001's texts are some 200,000 products; only blocks and each query's best move."""
     assert shuffled(spark, lambda: QUERIES[name](spark, sf).collect()) < 20_000
@@ -88,3 +89,13 @@ def test_pages_of_one_host_are_scored_once(spark, tmp_path):
     got = []
     assert shuffled(spark, lambda: got.append(QUERIES["gram_cosine_rerank"](spark, str(tmp_path)).agg(F.count("*"), F.min("score"), F.max("score")).first())) < 60_000
     assert tuple(got[0]) == (90_000, 1.0, 1.0)
+
+
+def test_rare_words_move_without_records(spark):
+    """400 pairs of records with five words each: the pairs move twice, their words once for each two names."""
+    record = lambda k: text.normalized_record(F.lit("acme trading house of north"), F.concat(F.lit(k), F.col("id").cast("string")))
+    none = F.create_map().cast("map<string,struct<rank:int,score:double>>")
+    pairs = spark.range(400).select("id", record("lane ").alias("s1"), record("road ").alias("cand"), F.lit(0.5).alias("best_score"), none.alias("metadata"), F.lit(2).alias("source"))
+    rare, got = spark.createDataFrame([("acme",), ("north",)], "term string"), []
+    assert shuffled(spark, lambda: got.extend(features.staged_features(pairs, rare).select("rare_count", "rare_frac_s1").collect())) < 1500
+    assert len(got) == 400 and {tuple(r) for r in got} == {(2.0, 1.0)}
