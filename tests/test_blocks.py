@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,41 @@ def test_repeated_keys_and_nothing(spark):
     assert blocks.similar_top_k(frame.limit(0), "g", F.col("q"), "i", F.col("t"), 10).collect() == []
 
 
+def test_rounds_and_their_disk(spark, monkeypatch):
+    """1,000 queries meet some 25 blocks of targets in rounds: the rows are those of one block, and no shuffle stays on disk (45 files before)."""
+    monkeypatch.setattr(blocks, "FIRST_ROUND", 2, raising=False)
+    rng, disk = random.Random(5), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    rows = [("a", i % 4 == 0, i, [f"t{int(rng.random() ** 2 * 300)}" for _ in range(12)]) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "g string, q boolean, i long, t array<string>").repartition(3)
+
+    def files() -> set[str]:
+        every = disk.getAllFiles()
+        return {f for f in (every.apply(i).getName() for i in range(every.size())) if f.startswith("shuffle_")}
+
+    def run(postings: int) -> list:
+        made = blocks.similar_top_k(frame, "g", F.col("q"), "i", F.array_distinct("t"), 3000, 10, postings=postings)
+        return sorted(map(tuple, made.collect()))
+
+    whole, before = run(1 << 20), files()
+    assert run(600) == whole and len(whole) == 10_000
+    assert len(files() - before) < 20
+
+
+def test_bar_of_a_query():
+    """Of three targets with scores 1, 0.8 and 0.6 the bar lets those through that are at it or over it."""
+    def side(lists, norm):
+        of = [i for i, ts in enumerate(lists) for _ in ts]
+        at = [t for ts in lists for t in ts]
+        arrays = {"terms": [7], "at": at, "ends": np.cumsum([len(x) for x in lists]), "weight": [1.0], "norm": norm, "other": [], "other_norm": [], "of": of, "stop": [len(of)]}
+        return blocks._Side({c: np.array(arrays[c], kind).tobytes() for c, kind in blocks._ARRAYS.items()}, None)
+
+    q, t = side([[0]], [1.0]), side([[0], [0], [0]], [1.0, 1.25, 1 / 0.6])
+    found = lambda bar: [(p.tolist(), s.tolist()) for _, p, s, _ in blocks._best(q, t, 10, 0.01, False, np.array([bar]))]
+    assert found(-np.inf) == [([0, 1, 2], [1.0, 0.8, 0.6])]
+    assert found(0.8) == [([0, 1], [1.0, 0.8])]
+    assert found(1.1) == []
+
+
 @pytest.mark.parametrize("name", ("tfidf_topk", "weighted_cosine_pairs", "numeric_overlap_features"))
 def test_no_pair_is_shuffled(spark, sf, name):
     """The candidates of sf0.001's texts are some 200,000 products; only blocks and each query's best move."""
