@@ -17,6 +17,7 @@ how far the number of such windows has to exceed what ordinary text has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +36,8 @@ BASE, DICTIONARY, SEGMENT = 128 << 10, 2 << 10, 24
 ROUNDS, RARE, MOST_TOXIC = 3, 0.99, 4
 #: Bytes by which a window may have to differ; calibration takes one of them.
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
+#: Bytes of texts whose windows are compressed together.
+TOGETHER = 256 << 10
 #: What a false alarm rate costs, when a miss rate costs 1.
 ALARM_COST = 10.0
 #: A further toxic dictionary stays if its cost is this at most.
@@ -94,8 +97,7 @@ def compressor(base: bytes, behind: bytes, size: int = DICTIONARY) -> zstandard.
 
 
 def lengths(how: zstandard.ZstdCompressor, parts: list[bytes]) -> np.ndarray:
-    compress = how.compress
-    return np.array([len(compress(p)) for p in parts], np.int64)
+    return np.fromiter(map(len, map(how.compress, parts)), np.int64, len(parts))
 
 
 def over(diff: np.ndarray, apart: int, usual: float) -> float:
@@ -111,14 +113,26 @@ class Scorer:
 
     def differences(self, text: bytes) -> list[np.ndarray]:
         """For each toxic dictionary and window, by how many bytes the window is shorter with it than with the ordinary one."""
-        parts = windows(text.lower(), self.model.window, self.model.step)
-        plain = lengths(self.ordinary, parts)
-        return [plain - lengths(t, parts) for t in self.toxic]
+        return next(self.every_difference([text]))
+
+    def every_difference(self, texts: list[bytes]) -> Iterator[list[np.ndarray]]:
+        """``differences`` of text after text. One dictionary after the other compresses all windows, for its tables then stay in the processor's cache."""
+        cut = [windows(t.lower(), self.model.window, self.model.step) for t in texts]
+        every = [w for parts in cut for w in parts]
+        plain = lengths(self.ordinary, every)
+        apart = [plain - lengths(t, every) for t in self.toxic]
+        ends = np.cumsum([len(parts) for parts in cut])
+        for parts, end in zip(cut, ends):
+            yield [d[end - len(parts) : end] for d in apart]
 
     def score(self, text: bytes) -> float:
         """By the toxic dictionary that finds most in the text; 0.5 is at its thresholds."""
-        raw = max((t.raw(d) for t, d in zip(self.model.toxic, self.differences(text))), default=self.model.otherwise)
-        return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        """``score`` of every text."""
+        raw = [max((t.raw(d) for t, d in zip(self.model.toxic, apart)), default=self.model.otherwise) for apart in self.every_difference(texts)]
+        return [float(1 / (1 + np.exp(-np.clip(r, -30, 30)))) for r in raw]
 
 
 class Halves:
@@ -223,8 +237,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            for part in slices(batch, "text"):
-                got = pa.array([scorer.score(t) for t in as_bytes(part, "text")], pa.float64())
+            for part in slices(batch, "text", TOGETHER):
+                got = pa.array(scorer.scores(as_bytes(part, "text")), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), got], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")

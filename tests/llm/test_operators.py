@@ -365,6 +365,27 @@ def test_toxicity(spark):
     assert 0 <= toxicity.Scorer(toxicity.train([])).score(b"") <= 1 and toxicity.score_documents(frame(spark, []), model).count() == 0
 
 
+def test_one_dictionary_after_the_other_scores_texts_together():
+    """Scores of texts together are those of each alone, and a dictionary's tables are changed for the next one's once for all texts, not once a text."""
+    texts = [b"", b"ab", b"The quick brown fox jumps over the lazy dog, twice.", b"x" * 100, "Ünïcode ".encode() * 30, b"you utter fool, begone from here " * 9]
+    model = toxicity.Model(b"the quick brown fox jumps over it " * 40, b"the lazy dog " * 9, [toxicity.Toxic(b"you utter fool ", 2, 0.01, 0.5), toxicity.Toxic(b"begone from here ", 3, 0.02, 0.1)])
+    scorer, used = toxicity.Scorer(model), []
+    alone = [scorer.score(t) for t in texts]
+
+    class Noted:
+        def __init__(self, name, how):
+            self.name, self.how = name, how
+
+        def compress(self, part):
+            used.append(self.name)
+            return self.how.compress(part)
+
+    scorer.ordinary, scorer.toxic = Noted("o", scorer.ordinary), [Noted(str(k), c) for k, c in enumerate(scorer.toxic)]
+    assert scorer.scores(texts) == alone and len(set(alone)) > 2
+    assert [a for a, b in zip(used, [None, *used]) if a != b] == ["o", "0", "1"]
+    assert scorer.scores([]) == [] and toxicity.Scorer(toxicity.Model(otherwise=1.0)).scores([b"", b"a"]) == [pytest.approx(1 / (1 + np.exp(-1)))] * 2
+
+
 def test_toxicity_dictionaries_are_trained_apart():
     """Each dictionary is running text of its own label, and lengths, windows and scores are as computed anew, one at a time."""
     import zstandard
