@@ -44,6 +44,10 @@ OFTEN = 64
 SMALL = 128
 #: Ids that are broadcast at most to fetch texts; beyond that they are joined by shuffle.
 MOST_BROADCAST = 200_000
+#: Text bytes that step one copies out of a batch at a time.
+PIECE_BYTES = 1 << 20
+#: Words whose hashes a worker keeps at most (about 120 bytes each).
+MOST_WORDS = 1 << 17
 
 
 def shingle_set(text: bytes, width: int, memo: Memo) -> np.ndarray:
@@ -63,7 +67,7 @@ def shingle_set(text: bytes, width: int, memo: Memo) -> np.ndarray:
 
 
 def word_memo() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+    return Memo(xxhash.xxh3_64_intdigest, MOST_WORDS)
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -105,31 +109,61 @@ def pack(width: int, bits: int, doc_type: str):
     return run
 
 
+def _by_token(tokens: np.ndarray, places: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both sorted by token, then place. Tokens of up to 48 bits are sorted in place together with their places; ``tokens`` is used up."""
+    if bits > 16:
+        order = np.argsort(tokens, kind="stable")  # places ascend
+        return tokens[order], places[order]
+    tokens <<= np.uint64(16)
+    tokens |= places
+    tokens.sort()
+    places = tokens.astype(np.uint16)
+    tokens >>= np.uint64(16)
+    return tokens, places
+
+
+def _pieces(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A null, then the values up to each end as binary, without a copy of them."""
+    offsets = (np.r_[0, 0, ends] * values.itemsize).astype(np.int32)
+    valid = np.packbits(np.arange(len(ends) + 1) > 0, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(ends) + 1, [pa.py_buffer(valid), pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
 def _packed(part, batch, width, bits, memo, doc_type):
-    sets = [shingle_set(t, width, memo) for t in as_bytes(part, "text")]
-    tokens = [np.unique(s >> np.uint64(32 - bits)) if len(s) else s for s in sets]
-    sizes = np.array([[len(s) for s in sets], [len(t) for t in tokens]], np.uint32)  # shingles, and tokens left of them: two shingles of a document may have one token
-    places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(t) for t in tokens])
-    tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-    order = np.argsort(tokens, kind="stable")
-    tokens, places = tokens[order], places[order]
-    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[first, len(tokens)])
-    many = np.repeat(count >= OFTEN, count)
-    often, often_n = tokens[first][count >= OFTEN], count[count >= OFTEN].astype(np.uint32)
+    # What is made for each token is freed or handed on as soon as it can be: of a batch's texts an executor's workers otherwise hold many times the size.
+    sizes, signatures, tokens = np.zeros((2, part.num_rows), np.uint32), [], []  # shingles, and tokens left of them: two shingles of a document may have one token
+    for piece in slices(part, "text", PIECE_BYTES):
+        for text in as_bytes(piece, "text"):
+            s = shingle_set(text, width, memo)
+            t = s >> np.uint64(32 - bits)
+            t = t[np.r_[True, t[1:] != t[:-1]]] if len(t) else t
+            sizes[:, len(tokens)] = len(s), len(t)
+            signatures.append(signature(s))
+            tokens.append(t)
+    tokens = np.concatenate([np.zeros(0, np.uint64), *tokens])
+    places = np.repeat(np.arange(part.num_rows, dtype=np.uint16), sizes[1])
+    tokens, places = _by_token(tokens, places, bits)
+    often = np.unique(tokens[OFTEN - 1 :][tokens[OFTEN - 1 :] == tokens[: max(0, len(tokens) - OFTEN + 1)]])
+    begin, end = np.searchsorted(tokens, often), np.searchsorted(tokens, often, "right")
+    often_n, many = (end - begin).astype(np.uint32), np.zeros(len(tokens) + 1, np.int8)
+    many[begin] += 1
+    many[end] -= 1
+    many = np.cumsum(many[:-1], dtype=np.int8).astype(bool)
     kept, kept_places = tokens[many], places[many]
-    tokens, places = tokens[~many], places[~many]
+    if len(kept):
+        tokens, places = tokens[~many], places[~many]
     edges = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32)
     cut, cut_often = np.searchsorted(tokens, edges), np.searchsorted(often, edges)
     low, low_often = tokens.astype(np.uint32), often.astype(np.uint32)
-    rows = [(-1 - batch, batch, None, None, None, None, part.column("doc_id").to_pylist(), sizes.tobytes(), b"".join(map(signature, sets)), kept.tobytes(), kept_places.tobytes())]
-    for k in range(1 << bits):
-        (a, b), (c, d) = cut[k : k + 2], cut_often[k : k + 2]
-        if b > a or d > c:
-            rows.append((k, batch, low[a:b].tobytes(), places[a:b].tobytes(), low_often[c:d].tobytes(), often_n[c:d].tobytes(), None, None, None, None, None))
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(part.column("doc_id").type), *[pa.binary()] * 4]
-    names = [x.split()[0] for x in PACKED.split(", ")]
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    del tokens, many
+    keys = np.flatnonzero((np.diff(cut) > 0) | (np.diff(cut_often) > 0))  # the other buckets have nothing, so the pieces of these lie side by side
+    n = len(keys) + 1
+    of_docs = lambda value, kind: pa.array([value] + [None] * (n - 1), kind)
+    cols = [
+        pa.array(np.r_[-1 - batch, keys], pa.int64()), pa.array(np.full(n, batch), pa.int64()), _pieces(low, cut[keys + 1]), _pieces(places, cut[keys + 1]), _pieces(low_often, cut_often[keys + 1]), _pieces(often_n, cut_often[keys + 1]),
+        of_docs(part.column("doc_id").to_pylist(), pa.list_(part.column("doc_id").type)), *(of_docs(x, pa.binary()) for x in (sizes.tobytes(), b"".join(signatures), kept.tobytes(), kept_places.tobytes())),
+    ]
+    yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in PACKED.split(", ")])
 
 
 COUNTED = "batch long, key long, places binary, tokens binary, counts binary, often binary, often_counts binary, ids {id}, sizes binary, signatures binary, kept binary, kept_places binary"
